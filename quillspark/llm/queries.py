@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, mixing, rules, sharding, token_counts
+from . import bpe_codec, mixing, quality_crf, rules, sharding, token_counts
 from .common import read_table
 
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -29,6 +29,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests_only=True)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = rules.assess(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     names = {"words": "n_words", "word_chars": "word_chars", "symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeat": "n_repeat_words"}
@@ -40,6 +44,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_bpe": op8_bpe,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
