@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, mixing, near_dedup, quality_crf, rules, sharding, token_counts
+from . import bpe_codec, fingerprints, mixing, near_dedup, quality_crf, rules, sharding, token_counts
 from .common import read_table
 
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -16,6 +16,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbour_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS, share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -45,6 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
