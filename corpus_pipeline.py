@@ -5,15 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe_codec, mixing, rules
+from quillspark.llm import bpe_codec, mixing, near_dedup, quality_crf, rules
 from quillspark.llm.common import read_table, staged
 from quillspark.llm.queries import MIX_WEIGHTS
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(docs, read_table(spark, sf_dir, "labels"), keep_columns=True)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.kept_rows(docs, read_table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(docs)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs, MIX_WEIGHTS, share=1.5, cap=2.0)
 
@@ -22,7 +30,13 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe_codec.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests_only=True)
 
 
-STAGES = [("quality rules", quality_rules), ("source mixing", source_mixing), ("BPE encoding", bpe_encoding)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("source mixing", source_mixing),
+    ("BPE encoding", bpe_encoding),
+]
 
 #: No SQL expresses the trained classifier, the dependent rounding or the merge loop.
 ORACLE_SQL = None

@@ -203,14 +203,13 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
     if keep_columns:
         cols = docs.columns
-        wide = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(cols)], docs[text].alias("_text")) if text not in cols else docs.select(*[docs[c].alias("_text" if c == text else f"_{i}") for i, c in enumerate(cols)])
+        wide = docs.select(*[docs[c].alias("_text" if c == text else f"_{i}") for i, c in enumerate(cols)])
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array(scored(batch) >= 0.5))
 
-        kept = wide.mapInArrow(keep, wide.schema)
-        return kept.toDF(*[*cols, "_text"][: len(wide.columns)])
+        return wide.mapInArrow(keep, wide.schema).toDF(*cols)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 

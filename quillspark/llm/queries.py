@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprints, mixing, near_dedup, quality_crf, rules, sharding, token_counts
+from . import bpe_codec, fingerprints, licences, mixing, near_dedup, quality_crf, rules, sharding, token_counts, token_store
 from .common import read_table
 
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -16,6 +16,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_neighbour_edits(read_table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write_store(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_store.read_digests(spark, path)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), 24)
 
@@ -49,8 +58,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_licence_scan": op2_licence_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
+    "op5_token_store": op5_token_store,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_bpe": op8_bpe,
@@ -58,4 +69,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_licence_scan": licences.oracle_sql()}
