@@ -67,16 +67,16 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     k = F.size("_at")
     gaps = F.zip_with(F.slice("_at", 1, F.greatest(k - 1, F.lit(0))), F.slice("_at", 2, F.greatest(k - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(3)))
     df = df.withColumn("repeat", F.when(k == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(3), lambda s, g: s + g)).cast("long"))
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return df.drop("_h", "_win", "_at", "t").withColumns(
-        {
-            "base_failed": (F.col("words") < 50) | (100 * F.col("repeat") > 50 * F.col("words")),
-            "symbol_share": share("symbols", "word_chars"),
-            "dup_line_share": share("dup_lines", "lines"),
-            "repeat_word_share": share("repeat", "words"),
-            "capital_share": share("capitals", "word_chars"),
-        }
-    )
+    share = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    stats = [F.col(c) for c in ("words", "word_chars", "symbols", "dup_lines", "repeat")] + [
+        ((F.col("words") < 50) | (100 * F.col("repeat") > 50 * F.col("words"))).alias("base_failed"),
+        share("symbols", "word_chars").alias("symbol_share"),
+        share("dup_lines", "lines").alias("dup_line_share"),
+        share("repeat", "words").alias("repeat_word_share"),
+        share("capitals", "word_chars").alias("capital_share"),
+    ]
+    # a generator of one row keeps later predicates from being copied into the long expressions above
+    return df.select("row", F.inline(F.array(F.struct(*stats))))
 
 
 def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
