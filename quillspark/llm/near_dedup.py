@@ -16,8 +16,10 @@ from .common import mix64, runs, staged, table_of, utf8, words_of
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6 registers: a pair of similarity 0.8 shares no band with chance 6e-5.
 BANDS, ROWS = 32, 6
-#: Rounds that compare each bucket with one more of its members before all pairs left over.
-CENTRES = 3
+#: Rounds that compare each bucket with one of its members before all pairs left over.
+CENTRES = 2
+#: Members of a block in the comparison of what is left of a bucket.
+BLOCK = 256
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -113,6 +115,86 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(sum(mass[g] / (only_a + only_b * r + np.maximum(fa, fb * r).sum()) for g, r in enumerate(ratio)))
 
 
+def _links_between(texts: list[str], comp: np.ndarray, buckets: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, same: bool, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links of left x right rows (each pair once if ``same``) in different classes.
+
+    A pair is compared in the first band that it shares. The mass that two texts share
+    comes from a product of their count matrices over shingles that at least two of the
+    texts have; a pair whose share of either total is below the similarity cannot reach it,
+    the others are verified exactly.
+    """
+    i, j = np.nonzero(comp[left][:, None] != comp[right][None, :])
+    if same:
+        i, j = i[left[i] < right[j]], j[left[i] < right[j]]
+    keep = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), 1 << 16):
+        eq = buckets[left[i[at : at + (1 << 16)]]] == buckets[right[j[at : at + (1 << 16)]]]
+        keep[at : at + (1 << 16)] = eq.argmax(axis=1) == band
+    i, j = left[i[keep]], right[j[keep]]
+    if not len(i):
+        return i, j
+    doc, name, count = shingles([t.encode() for t in texts], width)
+    total = np.bincount(doc, count, minlength=len(texts))
+    term, at, df = np.unique(name, return_inverse=True, return_counts=True)
+    column = np.cumsum(df > 1) - 1
+    many = (df > 1)[at]
+    shared = np.zeros((len(texts), len(texts)))
+    step = max(1, (1 << 22) // max(len(texts), 1))
+    for c in range(0, int((df > 1).sum()), step):
+        here = many & (column[at] >= c) & (column[at] < c + step)
+        has = np.zeros((len(texts), step), dtype=np.float32)
+        has[doc[here], column[at[here]] - c] = count[here]
+        shared += has @ (has > 0).T.astype(np.float32)
+    enough = np.minimum(shared[i, j] / total[i], shared[j, i] / total[j]) >= similarity - 1e-9
+    i, j = i[enough], j[enough]
+    plain = np.bincount(doc, count > 1, minlength=len(texts)) == 0
+    sets = plain[i] & plain[j]
+    ok = np.where(sets, shared[i, j] / np.maximum(total[i] + total[j] - shared[i, j], 1), 0.0) >= similarity
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    part = [(name[cut[k] : cut[k + 1]], count[cut[k] : cut[k + 1]]) for k in range(len(texts))]
+    for k in np.flatnonzero(~sets):
+        ok[k] = probability_jaccard(part[i[k]], part[j[k]]) >= similarity
+    return i[ok], j[ok]
+
+
+def _rest(member: DataFrame, labels: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links between members of a bucket that are still in different classes: all of them.
+
+    In each bucket, members outside its largest class meet one another and that class,
+    block by block, so a task holds two blocks of texts and gives out links alone. Buckets
+    of one class are left out; in others the work is (members outside the largest class) x
+    (members), which stays small as the rounds before have merged what is alike.
+    """
+    m = member.join(labels, "key")
+    of = m.groupBy("bucket", "band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket", "band").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("top"))
+    of = of.where(F.col("all") > F.col("most")).select("bucket", "band", "top", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("kn"), F.ceil(F.col("most") / BLOCK).cast("int").alias("km"))
+    m = m.join(of, ["bucket", "band"]).withColumn("main", F.col("comp") == F.col("top"))
+    m = m.withColumn("b", F.pmod(F.xxhash64("key"), F.when(F.col("main"), F.col("km")).otherwise(F.col("kn"))).cast("int"))
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    goes = F.when(F.col("main"), F.transform(upto("kn"), lambda x: F.struct(x.alias("i"), F.col("b").alias("j"), F.lit(True).alias("meets_main")))).otherwise(
+        F.concat(
+            F.transform(upto("kn"), lambda x: F.struct(F.least(x, F.col("b")).alias("i"), F.greatest(x, F.col("b")).alias("j"), F.lit(False).alias("meets_main"))),
+            F.transform(upto("km"), lambda x: F.struct(F.col("b").alias("i"), x.alias("j"), F.lit(True).alias("meets_main"))),
+        )
+    )
+    dealt = m.select("bucket", "band", "key", "comp", "main", "b", F.explode(goes).alias("g")).select("bucket", "band", "key", "comp", "main", "b", "g.i", "g.j", "g.meets_main")
+    dealt = dealt.join(texts.select("key", "buckets", "text"), "key")
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(group: pa.Table) -> pa.Table:
+        r = {c: group.column(c).to_pylist() for c in ("key", "comp", "main", "b", "text", "buckets")}
+        i, j, meets = (group.column(c)[0].as_py() for c in ("i", "j", "meets_main"))
+        main, b = np.array(r["main"]), np.array(r["b"])
+        same = not meets and i == j
+        left = np.flatnonzero(~main if meets or same else b == i)
+        right = np.flatnonzero(main if meets else (~main if same else b == j))
+        comp = np.unique(np.array([bytes(x).hex() for x in r["comp"]]), return_inverse=True)[1]
+        x, y = _links_between(r["text"], comp, np.array(r["buckets"], dtype=np.int64), group.column("band")[0].as_py(), left, right, same, width, similarity)
+        return pa.table({"a": [r["key"][k] for k in x], "b": [r["key"][k] for k in y]}, schema=out)
+
+    return dealt.groupBy("bucket", "band", "i", "j", "meets_main").applyInArrow(run, "a binary, b binary")
+
+
 _REPS = "key binary, doc_id long, buckets array<bigint>"
 
 
@@ -183,10 +265,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     probability Jaccard of counts of ``width``-word shingles, verified on the texts.
 
     Equal texts count once from the first shuffle on. Each bucket of texts that share a
-    band is compared with one member (its least, then others by a hash) and verified pairs
+    band is compared with one member (its least, then another by a hash) and verified pairs
     are merged; only members of a bucket that are still in different classes are then
-    paired, all of them, so no link between candidates is lost and tight groups, however
-    large, cost a few comparisons a member. Null and blank texts have no shingles: equal
+    compared, all of them, in blocks (``_rest``), so no link between candidates is lost and
+    tight groups, however large, cost a few comparisons a member. Null and blank texts have no shingles: equal
     ones (null counts as empty) are not evidence, so each blank row is its own class.
     Repeated rows fall in one class, of which one row is kept; null doc_ids sort last; an
     empty table gives an empty one; other columns are ignored.
@@ -195,14 +277,14 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     signed = staged(_signed(named.select("key", "doc_id", "text"), width, bands, rows), "signed")
     full = signed.where(F.size("buckets") > 0)
     reps = staged(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("n")), "reps")
-    member = reps.select("key", F.explode("buckets").alias("bucket"))
+    member = reps.select("key", F.posexplode("buckets").alias("band", "bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
     member = staged(member.join(shared, "bucket"), "members")
     involved = member.select("key").distinct()
     # one text for each involved digest, picked by the least doc_id, so that copies are not gathered
-    ids = involved.join(reps, "key").select("key", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"))
-    picked = named.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))).join(ids, ["key", "id"]).select("key", "text")
-    texts = staged(picked.groupBy("key").agg(F.first("text").alias("text")), "texts")
+    ids = involved.join(reps, "key").select("key", "buckets", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"))
+    picked = named.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))).join(ids, ["key", "id"]).select("key", "buckets", "text")
+    texts = staged(picked.groupBy("key").agg(F.first("buckets").alias("buckets"), F.first("text").alias("text")), "texts")
     labels = staged(involved.select("key", F.col("key").alias("comp")), "start")
 
     def pairs_left(labels: DataFrame, centre: int) -> DataFrame:
@@ -218,11 +300,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     for centre in range(CENTRES):
         links = staged(_verified(pairs_left(labels, centre), texts, width, similarity), "links")
         labels = components(labels, links)
-    m = member.join(labels, "key")
-    mixed = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
-    m = m.join(mixed, "bucket")
-    rest = m.alias("x").join(m.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    links = staged(_verified(rest, texts, width, similarity), "links")
+    links = staged(_rest(member, labels, texts, width, similarity), "links")
     labels = components(labels, links)
 
     node = reps.join(labels, "key", "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id", "n")
