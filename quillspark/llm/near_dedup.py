@@ -17,7 +17,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6 registers: a pair of similarity 0.8 shares no band with chance 6e-5.
 BANDS, ROWS = 32, 6
 #: Rounds that compare each bucket with one of its members before all pairs left over.
-CENTRES = 2
+CENTRES = 1
 #: Members of a block in the comparison of what is left of a bucket.
 BLOCK = 256
 
@@ -118,42 +118,56 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def _links_between(texts: list[str], comp: np.ndarray, buckets: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, same: bool, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Verified links of left x right rows (each pair once if ``same``) in different classes.
 
-    A pair is compared in the first band that it shares. The mass that two texts share
-    comes from a product of their count matrices over shingles that at least two of the
-    texts have; a pair whose share of either total is below the similarity cannot reach it,
-    the others are verified exactly.
+    A text whose shingles that others of the group have too are less than the similarity of
+    its mass can have no link. For the others, the mass that two texts share comes from a
+    product of their count matrices; a pair whose share of either total is below the
+    similarity cannot reach it. What is left is looked at in the first band that the pair
+    shares, and verified exactly.
     """
-    i, j = np.nonzero(comp[left][:, None] != comp[right][None, :])
-    if same:
-        i, j = i[left[i] < right[j]], j[left[i] < right[j]]
-    keep = np.zeros(len(i), dtype=bool)
-    for at in range(0, len(i), 1 << 16):
-        eq = buckets[left[i[at : at + (1 << 16)]]] == buckets[right[j[at : at + (1 << 16)]]]
-        keep[at : at + (1 << 16)] = eq.argmax(axis=1) == band
-    i, j = left[i[keep]], right[j[keep]]
-    if not len(i):
-        return i, j
     doc, name, count = shingles([t.encode() for t in texts], width)
-    total = np.bincount(doc, count, minlength=len(texts))
-    term, at, df = np.unique(name, return_inverse=True, return_counts=True)
+    n = len(texts)
+    total = np.bincount(doc, count, minlength=n)
+    _, at, df = np.unique(name, return_inverse=True, return_counts=True)
+    alive = np.bincount(doc, count * (df[at] > 1), minlength=n) >= (similarity - 1e-9) * total
+    left, right = left[alive[left]], right[alive[right]]
+    none = np.zeros(0, dtype=np.int64)
+    if not len(left) or not len(right):
+        return none, none
+    plain = np.bincount(doc, count > 1, minlength=n) == 0
+    usable = alive[doc]
+    df = np.bincount(at[usable], minlength=len(df))
     column = np.cumsum(df > 1) - 1
-    many = (df > 1)[at]
-    shared = np.zeros((len(texts), len(texts)))
-    step = max(1, (1 << 22) // max(len(texts), 1))
-    for c in range(0, int((df > 1).sum()), step):
-        here = many & (column[at] >= c) & (column[at] < c + step)
-        has = np.zeros((len(texts), step), dtype=np.float32)
-        has[doc[here], column[at[here]] - c] = count[here]
-        shared += has @ (has > 0).T.astype(np.float32)
-    enough = np.minimum(shared[i, j] / total[i], shared[j, i] / total[j]) >= similarity - 1e-9
-    i, j = i[enough], j[enough]
-    plain = np.bincount(doc, count > 1, minlength=len(texts)) == 0
+    usable &= (df > 1)[at]
+    width_ = int((df > 1).sum())
+    at_left, at_right = np.full(n, -1), np.full(n, -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    by_left, by_right = np.zeros((2, len(left), len(right)), dtype=np.float32)
+    step = max(1, (1 << 21) // max(len(left), len(right)))
+    for c in range(0, width_, step):
+        here = usable & (column[at] >= c) & (column[at] < c + step)
+        mats = []
+        for rows, where in ((len(left), at_left), (len(right), at_right)):
+            mine = here & (where[doc] >= 0)
+            m = np.zeros((rows, min(step, width_ - c)), dtype=np.float32)
+            m[where[doc[mine]], column[at[mine]] - c] = count[mine]
+            mats.append(m)
+        x, y = mats
+        by_left += x @ (y > 0).T.astype(np.float32)
+        by_right += (x > 0).astype(np.float32) @ y.T
+    enough = np.minimum(by_left / total[left][:, None], by_right / total[right][None, :]) >= similarity - 1e-6
+    enough &= comp[left][:, None] != comp[right][None, :]
+    if same:
+        enough &= left[:, None] < right[None, :]
+    i, j = np.nonzero(enough)
+    first = (buckets[left[i]] == buckets[right[j]]).argmax(axis=1) == band
+    i, j = i[first], j[first]
+    shared, i, j = by_left[i, j].astype(np.float64), left[i], right[j]
     sets = plain[i] & plain[j]
-    ok = np.where(sets, shared[i, j] / np.maximum(total[i] + total[j] - shared[i, j], 1), 0.0) >= similarity
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    part = [(name[cut[k] : cut[k + 1]], count[cut[k] : cut[k + 1]]) for k in range(len(texts))]
+    ok = np.where(sets, shared / np.maximum(total[i] + total[j] - shared, 1), 0.0) >= similarity
+    cut = np.searchsorted(doc, np.arange(n + 1))
     for k in np.flatnonzero(~sets):
-        ok[k] = probability_jaccard(part[i[k]], part[j[k]]) >= similarity
+        a, b = i[k], j[k]
+        ok[k] = probability_jaccard((name[cut[a] : cut[a + 1]], count[cut[a] : cut[a + 1]]), (name[cut[b] : cut[b + 1]], count[cut[b] : cut[b + 1]])) >= similarity
     return i[ok], j[ok]
 
 
@@ -265,7 +279,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     probability Jaccard of counts of ``width``-word shingles, verified on the texts.
 
     Equal texts count once from the first shuffle on. Each bucket of texts that share a
-    band is compared with one member (its least, then another by a hash) and verified pairs
+    band is compared with one member (that met most others, then one by a hash) and verified pairs
     are merged; only members of a bucket that are still in different classes are then
     compared, all of them, in blocks (``_rest``), so no link between candidates is lost and
     tight groups, however large, cost a few comparisons a member. Null and blank texts have no shingles: equal
@@ -278,18 +292,19 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     full = signed.where(F.size("buckets") > 0)
     reps = staged(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("n")), "reps")
     member = reps.select("key", F.posexplode("buckets").alias("band", "bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     member = staged(member.join(shared, "bucket"), "members")
-    involved = member.select("key").distinct()
+    involved = member.groupBy("key").agg(F.sum("n").alias("met"))
     # one text for each involved digest, picked by the least doc_id, so that copies are not gathered
     ids = involved.join(reps, "key").select("key", "buckets", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"))
     picked = named.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))).join(ids, ["key", "id"]).select("key", "buckets", "text")
     texts = staged(picked.groupBy("key").agg(F.first("buckets").alias("buckets"), F.first("text").alias("text")), "texts")
-    labels = staged(involved.select("key", F.col("key").alias("comp")), "start")
+    central = staged(involved, "central")
+    labels = central.select("key", F.col("key").alias("comp"))
 
     def pairs_left(labels: DataFrame, centre: int) -> DataFrame:
-        m = member.join(labels, "key")
-        order = F.struct(F.col("key")) if centre == 0 else F.struct(F.xxhash64("key", F.lit(centre)).alias("h"), F.col("key"))
+        m = member.join(labels, "key").join(central, "key")
+        order = F.struct(-F.col("met"), F.col("key")) if centre == 0 else F.struct(F.xxhash64("key", F.lit(centre)), F.col("key"))
         c = m.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("a"), F.col("comp").alias("ca"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         c = c.where(F.col("lo") != F.col("hi")).select("bucket", "c.a", "c.ca")
         p = m.join(c, "bucket").where(F.col("comp") != F.col("ca"))
