@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import block_of, cut_points, new_path, runs, seeds, shuffle_partitions, staged, table_of
 
-#: Ids hashed together, least and most ids of a chunk, and the mask that cuts one in 256.
-WINDOW, LEAST, MOST, MASK = 16, 64, 2048, np.uint64(255 << 40)
-CACHE_WORDS = 300_000
+#: Ids hashed together, least and most ids of a chunk, and the mask that cuts one in 512.
+WINDOW, LEAST, MOST, MASK = 16, 128, 4096, np.uint64(511 << 40)
+#: Words kept per Python worker; about 200 bytes each.
+CACHE_WORDS = 600_000
 #: Bytes of text encoded at once.
 PASS = 1 << 20
 
@@ -53,10 +57,10 @@ class LibraryEncoder:
         split = [[w for s in self.v.cut(t) for w in ([s] if s in special else bpe.split_byte_level(s))] if "<|" in t else bpe.split_byte_level(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        kind = f"<u{self.width}"
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype=kind).tobytes()
+        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
+        code = "H" if self.width == 2 else "I"
+        for w, ids in zip(new, map(attrgetter("ids"), self.library.encode_batch(new, add_special_tokens=False)), strict=True):
+            self.known[w] = struct.pack(f"<{len(ids)}{code}", *ids)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -164,25 +168,38 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            keys = batch.column(0).to_pylist()
             for a, b in runs([len(t) for t in texts], PASS):
                 packed = [p + end for p in coder.batch(texts[a:b])]
                 sizes = np.array([len(p) // coder.width for p in packed], dtype=np.int64)
                 offsets = np.concatenate(([0], np.cumsum(sizes)))
                 whole = b"".join(packed)
-                got: dict[str, list] = {f.name: [] for f in out}
-                for d, ends in enumerate(chunk_ends(np.frombuffer(whole, kind), offsets)):
-                    at, names = int(offsets[d]), []
-                    for s, e in enumerate(ends):
-                        data = whole[at * coder.width : e * coder.width]
-                        names.append(hashlib.sha256(data).digest())
-                        for c, x in (("row", row), ("doc_id", keys[a + d]), ("seq", s), ("n", e - at), ("after", int(offsets[d + 1]) - e), ("total", int(sizes[d])), ("data", data), ("width", coder.width)):
-                            got[c].append(x)
-                        at = e
-                    got["address"] += names
-                    got["root"] += [merkle(names)] * len(names)
-                    row += 1
-                yield table_of(got, out)
+                ends = chunk_ends(np.frombuffer(whole, kind), offsets)
+                each = np.array([len(e) for e in ends])
+                doc = np.repeat(np.arange(b - a), each)
+                stop = np.fromiter(chain.from_iterable(ends), dtype=np.int64, count=int(each.sum()))
+                begin = np.concatenate(([0], stop[:-1]))
+                cut = np.concatenate(([0], stop)) * coder.width
+                names = [hashlib.sha256(whole[x:y]).digest() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                first = (np.cumsum(each) - each).tolist()
+                roots: list[bytes | None] = [None] * len(names)
+                for d, at in enumerate(first):
+                    roots[at] = merkle(names[at : at + int(each[d])])
+                yield table_of(
+                    {
+                        "row": row + doc,
+                        "doc_id": batch.column(0).slice(a, b - a).take(pa.array(doc)),
+                        "seq": np.arange(len(doc)) - np.repeat(first, each),
+                        "n": stop - begin,
+                        "after": offsets[1:][doc] - stop,
+                        "total": sizes[doc],
+                        "address": names,
+                        "root": roots,
+                        "width": np.full(len(doc), coder.width),
+                        "data": pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(whole)]),
+                    },
+                    out,
+                )
+                row += b - a
 
     named = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     parts = staged(named.mapInArrow(encode, ddl), "parts")
@@ -190,7 +207,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
 
     cuts = cut_points(parts.where("seq = 0"), "doc_id", blocks or shuffle_partitions(spark))
     recipes = parts.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("total").alias("n_tokens"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("seq", "n", "after", "address"))).alias("chunks")
+        F.first("doc_id").alias("doc_id"), F.first("total").alias("n_tokens"), F.max("root").alias("root"), F.sort_array(F.collect_list(F.struct("seq", "n", "after", "address"))).alias("chunks")
     )
     recipes = staged(recipes.withColumn("block", block_of(F.col("doc_id"), cuts)), "recipes")
     sums = recipes.groupBy("block").agg(F.sum("n_tokens").alias("n"))
