@@ -2,7 +2,8 @@
 
 A store is a folder of Parquet tables:
 
-* ``chunks``   address (SHA-256 of the data), width, data: every distinct chunk once
+* ``chunks``   address (SHA-256 of the packed ids), width, data (these ids, Zstandard): every
+  distinct chunk once
 * ``recipes``  block, doc_id, start, n_tokens, row, root, chunks (addresses) in ascending
   doc_id order: block after block, sorted within
 * ``manifest`` block, docs, n_tokens, root: Merkle root over the recipe roots of a block
@@ -22,6 +23,7 @@ from operator import attrgetter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ from .common import block_of, cut_points, new_path, runs, seeds, shuffle_partiti
 #: Ids hashed together, least and most ids of a chunk, and the mask that cuts one in 512.
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, np.uint64(511 << 40)
 #: Words kept per Python worker; about 200 bytes each.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text encoded at once.
 PASS = 1 << 20
 
@@ -165,6 +167,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = LibraryEncoder(tokenizer)
         kind, end = f"<u{coder.width}", np.array([end_id], dtype=f"<u{coder.width}").tobytes()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -179,7 +182,9 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
                 stop = np.fromiter(chain.from_iterable(ends), dtype=np.int64, count=int(each.sum()))
                 begin = np.concatenate(([0], stop[:-1]))
                 cut = np.concatenate(([0], stop)) * coder.width
-                names = [hashlib.sha256(whole[x:y]).digest() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                data = [whole[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                names = [hashlib.sha256(x).digest() for x in data]
+                data = [squeeze(x) for x in data]
                 first = (np.cumsum(each) - each).tolist()
                 roots: list[bytes | None] = [None] * len(names)
                 for d, at in enumerate(first):
@@ -195,7 +200,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
                         "address": names,
                         "root": roots,
                         "width": np.full(len(doc), coder.width),
-                        "data": pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(whole)]),
+                        "data": data,
                     },
                     out,
                 )
@@ -249,8 +254,10 @@ def chunk_facts(spark: SparkSession, path: str) -> DataFrame:
     out = pa.schema([("address", pa.binary()), ("ids", pa.int64()), ("crc", pa.int64()), ("sound", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             address, width, data = (batch.column(c).to_pylist() for c in ("address", "width", "data"))
+            data = [plain(x) for x in data]
             wide = [np.frombuffer(x, f"<u{w}").astype("<u4").tobytes() for x, w in zip(data, width, strict=True)]
             yield table_of({"address": batch.column("address"), "ids": [len(x) // 4 for x in wide], "crc": [zlib.crc32(x) for x in wide], "sound": [hashlib.sha256(x).digest() == a for x, a in zip(data, address, strict=True)]}, out)
 
@@ -288,8 +295,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids = [np.concatenate([np.frombuffer(p["data"], f"<u{p['width']}") for p in x]).astype(np.int32) for x in batch.column("parts").to_pylist()]
+            ids = [np.concatenate([np.frombuffer(plain(p["data"]), f"<u{p['width']}") for p in x]).astype(np.int32) for x in batch.column("parts").to_pylist()]
             yield table_of({"doc_id": batch.column("doc_id"), "start": batch.column("start"), "ids": ids}, out)
 
     grouped = met.groupBy("doc_id", "start", "row").agg(F.sort_array(F.collect_list(F.struct("i", "width", "data"))).alias("parts"))
