@@ -107,6 +107,7 @@ def cutoffs(stats: DataFrame, good: Column, stratum: str = "stratum", risk: floa
     each = risk / len(RULES)
     grid = [(r, c) for r, cs in RULES.items() for c in cs]
     counted = stats.where(good).groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(r) > c).cast("long")).alias(f"k{i}") for i, (r, c) in enumerate(grid)])
+    counted = staged(counted, "counted")  # read twice below
     tests = counted.select(stratum, "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(grid)])).alias("x"))
     m = tests.groupBy().agg(F.count(F.lit(1)).alias("m"))
     ok = tests.crossJoin(m).where((F.col("x.k") <= F.col("n") * each) & (log_binomial_cdf(F.col("x.k"), F.col("n"), each) <= F.log(F.lit(delta) / F.col("m"))))
