@@ -60,7 +60,7 @@ def _parse(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label[first] = (names[first] & _U(127)).astype(np.uint8)
         for table in _NEXT:
             label[1:] = table[label[1:], label[:-1]]
-            label[first] &= 7 if table.shape[0] > 8 else 3
+            label[first] = (names[first] & _U(7 if table.shape[0] > 8 else 3)).astype(np.uint8)  # of its own text alone
         start = first.copy()
         if n > 2:
             mid, left, right = label[1:-1], label[:-2], label[2:]
