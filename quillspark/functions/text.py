@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space as a class body for Java and RE2 alike.
@@ -12,6 +12,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHARS_PER_TOKEN, DEFAULT_MAX_TOKENS, BYPASS_CHARS = 4, 2048, 1000
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add or replace a column that is evaluated once a row, however often it is used later.
+
+    A one-row generator keeps the optimiser from copying a long expression into each use.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def lines(t: Column) -> Column:
     """Lines of a text: a final line break gives no empty last line; '' and null have none."""
     return F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\r?\n\z", ""), r"\r?\n"))

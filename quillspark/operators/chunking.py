@@ -21,6 +21,8 @@ def estimate(t: str) -> int:
 
 def _segments(t: str) -> list[str]:
     """Runs of lines, broken before headings and fences and at blank lines (which are left out)."""
+    if not t:
+        return [""]
     out: list[list[str]] = [[]]
     for line in t.removesuffix("\n").split("\n"):
         line = line.removesuffix("\r")

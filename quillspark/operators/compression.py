@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from .filtering import filter_text
+from .filtering import with_filtered
 
 #: Entity patterns in order, and how many new ones of each are kept (fixed values).
 ENTITIES = [
@@ -51,31 +51,37 @@ def detect_type(t: Column) -> Column:
     )
 
 
-def entities(t: Column) -> Column:
+def with_entity_index(df: DataFrame, t: str, to: str = "entities") -> DataFrame:
     """Distinct entities in order of pattern, then of place; each pattern adds its cap of new ones."""
-    out = F.array().cast("array<string>")
+    out = df.withColumn(to, F.array().cast("array<string>"))
     for pattern, cap in ENTITIES:
-        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, r"^[,;.)]+|[,;.)]+$", ""))
-        new = F.array_except(F.filter(found, lambda x: F.octet_length(x) >= 3), out)
-        out = F.concat(out, F.slice(new, 1, cap))
-    return F.slice(out, 1, MAX_ENTITIES)
+        found = F.transform(F.regexp_extract_all(F.col(t), F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, r"^[,;.)]+|[,;.)]+$", ""))
+        new = F.array_except(F.filter(found, lambda x: F.octet_length(x) >= 3), F.col(to))
+        out = tx.once(out, to, F.concat(F.col(to), F.slice(new, 1, cap)))
+    return tx.once(out, to, F.slice(to, 1, MAX_ENTITIES))
 
 
 def fold_similar(a: Column, threshold: float = SIMILARITY) -> Column:
-    """Drop a line like the last kept one: equal, or with token sets of at least the similarity."""
-    kind = "struct<out:array<string>,last:array<string>>"
+    """Drop a line like the last kept one: equal, or with token sets of at least the similarity.
+
+    The fold carries the last kept line's words and the indices kept, not the lines.
+    """
+    kind = "struct<kept:array<int>,line:string,last:array<string>>"
 
     def words(x: Column) -> Column:
         return F.filter(F.array_distinct(F.split(tx.ascii_lower(x), rf"[{tx.WS}]+")), lambda w: w != "")
 
-    def step(acc: Column, x: Column) -> Column:
-        w = words(x)
-        alike = (F.size(acc["last"]) > 0) & (F.size(w) > 0) & (F.size(F.array_intersect(w, acc["last"])) / F.greatest(F.size(F.array_union(w, acc["last"])), F.lit(1)) >= threshold)
-        same = (F.size(acc["out"]) > 0) & F.coalesce(F.try_element_at(acc["out"], F.lit(-1)) == x, F.lit(False))
-        return F.when(alike | same, acc).otherwise(F.struct(F.concat(acc["out"], F.array(x)).alias("out"), w.alias("last")))
+    rows = F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("x"), words(x).alias("w")))
+
+    def step(acc: Column, r: Column) -> Column:
+        both = F.size(F.array_intersect(r["w"], acc["last"]))
+        union = F.size(r["w"]) + F.size(acc["last"]) - both
+        alike = (F.size(acc["last"]) > 0) & (F.size(r["w"]) > 0) & (both / F.greatest(union, F.lit(1)) >= threshold)
+        same = F.coalesce(acc["line"] == r["x"], F.lit(False))
+        return F.when(alike | same, acc).otherwise(F.struct(F.concat(acc["kept"], F.array(r["i"])).alias("kept"), r["x"].alias("line"), r["w"].alias("last")))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("last")).cast(kind)
-    return F.aggregate(a, start, step, lambda s: s["out"])
+    start = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(None).cast("string").alias("line"), F.array().cast("array<string>").alias("last")).cast(kind)
+    return F.transform(F.aggregate(rows, start, step, lambda s: s["kept"]), lambda i: F.get(a, i))
 
 
 def log_bodies(a: Column) -> Column:
@@ -150,14 +156,16 @@ def compress(df: DataFrame, text: str = "text", max_tokens: int = tx.DEFAULT_MAX
     """Add content, content_type, entities, bypassed and metrics; short texts pass unchanged unless forced."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("bypassed", (F.length(t) < tx.BYPASS_CHARS) & F.lit(not force))
-    out = out.withColumn("_w", filter_text(t, json=content_type in ("auto", "json")) if prefilter else t)
-    out = out.withColumn("content_type", detect_type(F.col("_w")) if content_type == "auto" else F.lit(content_type))
-    out = out.withColumn("entities", entities(F.col("_w")) if with_entities else F.array().cast("array<string>"))
-    out = out.withColumn("_a", fold_similar(tx.lines(F.col("_w"))) if dedupe else tx.lines(F.col("_w")))
+    work = F.when(F.col("bypassed"), F.lit("")).otherwise(t)  # bypassed texts cost nothing more
+    out = with_filtered(out, work, "_w", json=content_type in ("auto", "json")) if prefilter else tx.once(out, "_w", work)
+    out = tx.once(out, "content_type", F.when(F.col("bypassed"), F.lit(None)).otherwise(detect_type(F.col("_w")) if content_type == "auto" else F.lit(content_type)))
+    out = with_entity_index(out, "_w") if with_entities else out.withColumn("entities", F.array().cast("array<string>"))
+    out = tx.once(out, "_a", tx.lines(F.col("_w")))
+    out = tx.once(out, "_a", fold_similar(F.col("_a"))) if dedupe else out
     kind, a = F.col("content_type"), F.col("_a")
     body = F.when(kind == "log", tx.unlines(group_logs(a))).when(kind == "code", tx.unlines(squeeze_code(a))).when(kind == "conversation", tx.unlines(squeeze_conversation(a))).otherwise(tx.unlines(a))
-    out = out.withColumn("_b", F.when(kind == "json", compact_json(tx.unlines(a))).otherwise(body))
+    out = tx.once(out, "_b", F.when(kind == "json", compact_json(tx.unlines(a))).otherwise(body))
     headed = F.when(F.size("entities") > 0, F.concat(F.lit("[entities: "), F.array_join("entities", " · "), F.lit("]\n"), F.col("_b"))).otherwise(F.col("_b"))
-    out = out.withColumn("content", F.when(F.col("bypassed"), t).otherwise(hard_truncate(headed, max_tokens)))
-    out = out.withColumn("entities", F.when(F.col("bypassed"), F.array().cast("array<string>")).otherwise(F.col("entities")))
+    out = tx.once(out, "_b", headed)
+    out = tx.once(out, "content", F.when(F.col("bypassed"), t).otherwise(hard_truncate(F.col("_b"), max_tokens)))
     return out.withColumn("metrics", tx.metrics(t, F.col("content"))).drop("_w", "_a", "_b")

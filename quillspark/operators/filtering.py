@@ -21,8 +21,9 @@ def strip_ansi(t: Column) -> Column:
 
 
 def densify_json(t: Column) -> Column:
-    """Compact form with sorted keys if the whole trimmed text is JSON."""
-    return F.coalesce(F.to_json(tx.json_value(tx.trim(t))), t)
+    """Compact form with sorted keys if the whole trimmed text is JSON; only texts that could be are parsed."""
+    may_be = t.rlike(rf"^[{tx.WS}]*[{{\[\"0-9tfn-]") & t.rlike(rf"[}}\]\"0-9el][{tx.WS}]*\z")
+    return F.when(may_be, F.coalesce(F.to_json(tx.json_value(tx.trim(t))), t)).otherwise(t)
 
 
 def is_boilerplate(line: Column) -> Column:
@@ -59,21 +60,23 @@ def kept_lines(a: Column, boilerplate: bool = True, drop: list[str] | None = Non
     return F.filter(F.transform(a, tx.trim_end), fits)
 
 
-def collapse_lines(a: Column, max_blank: int = 1) -> Column:
-    """Runs of white space become one blank; of a run of empty lines, max_blank are left."""
-    flat = F.transform(a, lambda x: F.regexp_replace(x, rf"[{tx.WS}]+", " "))
-    k = max_blank
-    return F.filter(flat, lambda x, i: (x != "") | (i < k) | F.exists(F.slice(flat, i - k + 1, k), lambda y: y != "")) if k else F.filter(flat, lambda x: x != "")
+def cap_blank(flat: Column, most: int = 1) -> Column:
+    """Of a run of empty lines, leave the first ``most``."""
+    if not most:
+        return F.filter(flat, lambda x: x != "")
+    return F.filter(flat, lambda x, i: (x != "") | (i < most) | F.exists(F.slice(flat, i - most + 1, most), lambda y: y != ""))
 
 
-def filter_text(t: Column, ansi: bool = True, collapse: bool = True, boilerplate: bool = True, json: bool = True, keep: list[str] | None = None, drop: list[str] | None = None, max_tokens: int | None = None, max_blank: int = 1) -> Column:
-    if ansi:
-        t = strip_ansi(t)
+def with_filtered(df: DataFrame, source: Column, to: str, ansi: bool = True, collapse: bool = True, boilerplate: bool = True, json: bool = True, keep: list[str] | None = None, drop: list[str] | None = None, max_tokens: int | None = None, max_blank: int = 1) -> DataFrame:
+    """Add the filtered text; each step is evaluated once a row."""
+    out = tx.once(df, to, strip_ansi(F.coalesce(source, F.lit(""))) if ansi else F.coalesce(source, F.lit("")))
     if json:
-        t = densify_json(t)
-    a = kept_lines(tx.lines(t), boilerplate, drop, keep)
-    out = tx.unlines(collapse_lines(a, max_blank) if collapse else a)
-    return tx.truncate(out, max_tokens) if max_tokens is not None else out
+        out = tx.once(out, to, densify_json(F.col(to)))
+    out = tx.once(out, "_lines", kept_lines(tx.lines(F.col(to)), boilerplate, drop, keep))
+    if collapse:
+        out = tx.once(out, "_lines", F.transform("_lines", lambda x: F.regexp_replace(x, rf"[{tx.WS}]+", " ")))
+    out = tx.once(out, to, tx.unlines(cap_blank(F.col("_lines"), max_blank) if collapse else F.col("_lines"))).drop("_lines")
+    return tx.once(out, to, tx.truncate(F.col(to), max_tokens)) if max_tokens is not None else out
 
 
 def filter_lines(df: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -82,7 +85,7 @@ def filter_lines(df: DataFrame, text: str = "text", **options) -> DataFrame:
     budget = options.get("max_tokens")
     if query and query.strip():
         options["max_tokens"] = None
-    out = df.withColumn("content", filter_text(F.col(text), **options))
+    out = with_filtered(df, F.col(text), "content", **options)
     if query and query.strip():
         from .ranking import keep_lines
 

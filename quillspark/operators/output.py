@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .compression import any_of
-from .filtering import densify_json, filter_text
+from .filtering import densify_json, strip_ansi, with_filtered
 
 #: Domain -> fragments of the lower-cased first 4000 characters, in order of precedence (fixed values).
 DOMAIN_DROPS = {
@@ -99,20 +99,23 @@ def head_tail_tokens(t: Column, max_tokens: int) -> Column:
     return F.when((tx.token_count(t) <= max_tokens) | (F.length(t) <= 2 * half), t).otherwise(cut)
 
 
+def _without(t: Column, drop: list[str]) -> Column:
+    return tx.unlines(F.filter(tx.lines(t), lambda x: ~any_of(tx.trim_end(x).rlike(p) for p in drop)))
+
+
 def compress_output(df: DataFrame, text: str = "text", domain: str = "auto", max_tokens: int | None = None, keep_head_tail: bool = True, head: int = 40, tail: int = 40) -> DataFrame:
     """Add domain, content, lines_in, lines_out, metrics."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("domain", detect_domain(t) if domain == "auto" else F.lit(domain))
-    body, scrubbed = t, None
+    out = tx.once(df, "domain", detect_domain(t) if domain == "auto" else F.lit(domain))
+    body = F.lit(None).cast("string")
     for name, fn in LINES.items():
         body = F.when(F.col("domain") == name, tx.unlines(fn(tx.lines(t)))).otherwise(body)
-    out = out.withColumn("_b", F.when(F.col("domain") == "json", densify_json(t)).otherwise(body))
-    scrubbed = filter_text(F.col("_b"), json=False)
-    for name, drop in DOMAIN_DROPS.items():
-        scrubbed = F.when(F.col("domain") == name, filter_text(F.col("_b"), json=False, drop=drop)).otherwise(scrubbed)
-    out = out.withColumn("content", scrubbed)
+    body = F.when(F.col("domain") == "json", densify_json(t)).otherwise(F.coalesce(body, t))
+    for name, drop in DOMAIN_DROPS.items():  # these patterns see right-trimmed lines, before white space collapses
+        body = F.when(F.col("domain") == name, _without(strip_ansi(body), drop)).otherwise(body)
+    out = with_filtered(tx.once(out, "_b", body), F.col("_b"), "content", json=False)
     if keep_head_tail:
-        out = out.withColumn("content", head_tail(F.col("content"), head, tail))
+        out = tx.once(out, "content", head_tail(F.col("content"), head, tail))
     if max_tokens is not None:
-        out = out.withColumn("content", head_tail_tokens(F.col("content"), max_tokens))
+        out = tx.once(out, "content", head_tail_tokens(F.col("content"), max_tokens))
     return out.withColumn("lines_in", F.size(tx.lines(t))).withColumn("lines_out", F.size(tx.lines(F.col("content")))).withColumn("metrics", tx.metrics(t, F.col("content"))).drop("_b")

@@ -79,7 +79,7 @@ def bm25(df: DataFrame, query: str, text: str = "text") -> DataFrame:
     each query term, a single row that is broadcast; postings are never exploded.
     """
     terms = query_terms(query)
-    out = df.withColumn("_tok", tokens(F.col(text)))
+    out = tx.once(df, "_tok", tokens(F.col(text)))
     if not terms:
         return out.withColumn("bm25_score", F.lit(0.0)).drop("_tok")
     facts = out.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size("_tok")).alias("_avgdl"), *[F.sum(F.array_contains("_tok", q).cast("long")).alias(f"_df{i}") for i, q in enumerate(terms)])
@@ -87,13 +87,19 @@ def bm25(df: DataFrame, query: str, text: str = "text") -> DataFrame:
     return scored.withColumn("bm25_score", score(F.col("_tok"), F.coalesce(F.col(text), F.lit("")), terms, [F.col(f"_df{i}") for i in range(len(terms))], F.col("_n"), F.col("_avgdl"))).drop("_tok", *facts.columns)
 
 
-def line_scores(a: Column, toks: Column, terms: list[str]) -> Column:
-    """Scores of a document's lines; the corpus is these lines."""
+def line_facts(a: Column, toks: Column, terms: list[str]) -> Column:
+    """Document frequency of each term among a document's lines, their number and mean length."""
     n = F.size(a)
     avgdl = F.aggregate(toks, F.lit(0.0), lambda s, x: s + F.size(x)) / F.greatest(n, F.lit(1))
-    df = [F.size(F.filter(toks, _holds(q))) for q in terms]
-    facts = F.array(*[d.cast("double") for d in df], n.cast("double"), avgdl) if terms else F.array()
-    return F.transform(F.arrays_zip(a.alias("l"), toks.alias("t")), lambda x: score(x["t"], x["l"], terms, [F.get(facts, F.lit(i)) for i in range(len(terms))], F.get(facts, F.lit(len(terms))), F.get(facts, F.lit(len(terms) + 1)))) if terms else F.transform(a, lambda x: F.lit(0.0))
+    return F.array(*[F.size(F.filter(toks, _holds(q))).cast("double") for q in terms], n.cast("double"), avgdl)
+
+
+def line_scores(a: Column, toks: Column, facts: Column, terms: list[str]) -> Column:
+    """Scores of a document's lines; the corpus is these lines."""
+    if not terms:
+        return F.transform(a, lambda x: F.lit(0.0))
+    at = lambda i: F.get(facts, F.lit(i))
+    return F.transform(F.arrays_zip(a.alias("l"), toks.alias("t")), lambda x: score(x["t"], x["l"], terms, [at(i) for i in range(len(terms))], at(len(terms)), at(len(terms) + 1)))
 
 
 def keep_lines(df: DataFrame, query: str, text: str = "text", key: str = "doc_id", max_tokens: int = tx.DEFAULT_MAX_TOKENS) -> DataFrame:
@@ -105,8 +111,10 @@ def keep_lines(df: DataFrame, query: str, text: str = "text", key: str = "doc_id
     """
     terms = query_terms(query)
     tech = [q for q in terms if _technical(q)]
-    out = df.withColumn("_l", F.filter(tx.lines(F.col(text)), lambda x: tx.trim(x) != "")).withColumn("_t", F.transform("_l", tokens))
-    out = out.withColumn("_s", line_scores(F.col("_l"), F.col("_t"), terms))
+    out = tx.once(df, "_l", F.filter(tx.lines(F.col(text)), lambda x: tx.trim(x) != ""))
+    out = tx.once(out, "_t", F.transform("_l", tokens))
+    out = tx.once(out, "_f", line_facts(F.col("_l"), F.col("_t"), terms))
+    out = tx.once(out, "_s", line_scores(F.col("_l"), F.col("_t"), F.col("_f"), terms))
     some = F.exists("_s", lambda s: s > 0)
     zipped = F.arrays_zip("_l", "_t", "_s")
     need = (lambda x: F.arrays_overlap(x["_t"], F.array(*[F.lit(q) for q in tech]))) if tech else (lambda x: F.lit(False))
@@ -117,7 +125,7 @@ def keep_lines(df: DataFrame, query: str, text: str = "text", key: str = "doc_id
         return F.when(acc["full"], acc).when(tx.token_count(more) > max_tokens, F.struct(acc["out"].alias("out"), F.lit(True).alias("full"))).otherwise(F.struct(more.alias("out"), F.lit(False).alias("full")))
 
     kept = F.aggregate(picked, F.struct(F.lit("").alias("out"), F.lit(False).alias("full")), step, lambda s: s["out"])
-    return out.withColumn(text, kept).drop("_l", "_t", "_s")
+    return tx.once(out, text, kept).drop("_l", "_t", "_f", "_s")
 
 
 def filter_relevant(df: DataFrame, query: str, text: str = "text", max_tokens: int = tx.DEFAULT_MAX_TOKENS) -> DataFrame:

@@ -50,8 +50,10 @@ def sanitize(df: DataFrame, text: str = "text", secret_replacement: str | None =
     out = df.withColumn("_t0", F.coalesce(F.col(text), F.lit("")))
     for i, (kind, _, pattern, to) in enumerate(rules):
         to = secret_replacement if kind == "secret" and secret_replacement is not None else to
-        out = out.withColumn(f"_n{i}", F.regexp_count(f"_t{i}", F.lit(pattern))).withColumn(f"_t{i + 1}", F.regexp_replace(f"_t{i}", pattern, to))
+        hit = F.col(f"_t{i}").rlike(pattern)
+        step = F.when(hit, F.struct(F.regexp_count(f"_t{i}", F.lit(pattern)).alias("n"), F.regexp_replace(f"_t{i}", pattern, to).alias("t"))).otherwise(F.struct(F.lit(0).alias("n"), F.col(f"_t{i}").alias("t")))
+        out = tx.once(out, "_r", step).withColumns({f"_n{i}": F.col("_r.n"), f"_t{i + 1}": F.col("_r.t")}).drop("_r", f"_t{i}")
     found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(lb).alias("label"), F.col(f"_n{i}").cast("long").alias("count")) for i, (k, lb, _, _) in enumerate(rules)])
     out = out.withColumn("content", F.col(f"_t{len(rules)}")).withColumn("findings", F.filter(found, lambda x: x["count"] > 0))
     out = out.withColumn("redacted_count", F.aggregate("findings", F.lit(0).cast("long"), lambda s, x: s + x["count"])).withColumn("metrics", tx.metrics(F.col(text), F.col("content")))
-    return out.drop(*[f"_n{i}" for i in range(len(rules))], *[f"_t{i}" for i in range(len(rules) + 1)])
+    return out.drop(*[f"_n{i}" for i in range(len(rules))], f"_t{len(rules)}")

@@ -108,7 +108,7 @@ QUERIES = {
     "densify_json": lambda s, d: events(s, d).select("event_id", filtering.densify_json(F.concat(F.lit(" "), F.col("props"), F.lit("\n"))).alias("content")),
     "sanitize_text": lambda s, d: sanitize.sanitize(mixed(s, d)).select("doc_id", "content", "redacted_count"),
     "sanitize_findings": lambda s, d: sanitize.sanitize(mixed(s, d)).select(F.explode("findings").alias("f")).groupBy("f.kind", "f.label").agg(F.sum("f.count").alias("n"), F.count(F.lit(1)).alias("docs")),
-    "entities_extract": per_text(mixed, entities=lambda: F.array_join(compression.entities(F.col("text")), "·")),
+    "entities_extract": lambda s, d: compression.with_entity_index(mixed(s, d), "text").select("doc_id", F.array_join("entities", "·").alias("entities")),
     "dedupe_consecutive": text_of_lines(compression.squeeze_conversation),
     "dedupe_jaccard": text_of_lines(compression.fold_similar),
     "log_group": text_of_lines(compression.group_logs),
