@@ -69,4 +69,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_licence_scan": licences.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_licence_scan": licences.oracle_sql(), "op10_quality_rules": rules.oracle_sql()}

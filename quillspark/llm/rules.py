@@ -153,3 +153,31 @@ def kept_rows(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     s = text_stats(docs, text).withColumns({"doc_id": F.col("row")[key].cast("long"), "stratum": F.col("row")[stratum].cast("string")})
     most = staged(cutoffs(_labelled(s.drop("row"), labels), F.lit(True), risk=risk, delta=delta), "cutoffs")
     return _verdict(s, most).where("kept").select("row.*")
+
+
+def oracle_sql() -> str:
+    """Counts and verdicts of ``documents`` in DuckDB SQL; the binomial bound by log-gamma."""
+    each = RISK / len(RULES)
+    grid = ", ".join(f"('{r}', {c})" for r, cs in RULES.items() for c in cs)
+    least = ", ".join(f"min(cutoff) FILTER (rule = '{r}') AS most_{r}" for r in RULES)
+    fits = " AND ".join(f"{r} <= coalesce(most_{r}, 1e9)" for r in RULES)
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in RULES) + " END"
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each}))"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+g2 AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM g),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g2 WHERE c > 1) GROUP BY r),
+b AS (SELECT d.r, doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  length(t) - length(translate(t, '{_SYMBOLS}', '')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS capitals FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
+s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbol_share,
+  n_dup_lines / greatest(lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_word_share, capitals / greatest(word_chars, 1) AS capital_share FROM b),
+good AS (SELECT * FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
+tests AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k FROM good, (VALUES {grid}) v(rule, cutoff) GROUP BY lang, rule, cutoff),
+passed AS (SELECT lang, rule, cutoff FROM tests WHERE k <= n * {each}
+  AND (SELECT sum({term}) FROM (SELECT unnest(range(CAST(k + 1 AS BIGINT))) AS i)) <= {DELTA} / (SELECT count(*) FROM tests)),
+most AS (SELECT lang, {least} FROM passed GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fits} AS kept
+FROM s LEFT JOIN most ON s.lang IS NOT DISTINCT FROM most.lang"""
