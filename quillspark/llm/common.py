@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +106,13 @@ def runs(sizes: list[int], limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]
         yield at, len(sizes)
 
 
+def passes(texts: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of a text column and their UTF-8 bytes (null: empty), made one pass at a time."""
+    raw = texts.cast(pa.binary())
+    for a, b in runs([n or 0 for n in pa.compute.binary_length(raw).to_pylist()], limit):
+        yield a, b, [t or b"" for t in raw.slice(a, b - a).to_pylist()]
+
+
 def utf8(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Concatenated bytes and the offsets of each text in them."""
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)

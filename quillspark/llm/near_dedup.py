@@ -7,11 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, runs, staged, table_of, utf8, words_of
+from .common import mix64, passes, staged, table_of, utf8, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6 registers: a pair of similarity 0.8 shares no band with chance 6e-5.
@@ -219,9 +218,8 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            for a, b in runs([len(t) for t in texts]):
-                doc, name, count = shingles(texts[a:b], width)
+            for a, b, texts in passes(batch.column("text")):
+                doc, name, count = shingles(texts, width)
                 sig = signatures(doc, name, count.astype(np.float64), b - a, bands * rows).reshape(b - a, bands, rows)
                 with np.errstate(over="ignore"):
                     h = np.broadcast_to(salt, (b - a, bands)).copy()

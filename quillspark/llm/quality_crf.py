@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, runs, table_of, utf8, words_of
+from .common import mix64, passes, table_of, utf8, words_of
 
 #: At most so many labelled documents are fitted on (chosen by hash of the key).
 MAX_TRAIN_DOCS = 4000
@@ -172,9 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            for a, b in runs([len(t) for t in texts]):
-                x, owner, _ = line_features(texts[a:b])
+            for a, b, texts in passes(batch.column("text")):
+                x, owner, _ = line_features(texts)
                 cut = np.searchsorted(owner, np.arange(1, b - a))
                 yield table_of({"doc_id": batch.column("doc_id").slice(a, b - a), "quality": batch.column("quality").slice(a, b - a), "lines": [y.astype("<f4").tobytes() for y in np.split(x, cut)]}, out)
 
@@ -198,8 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     model = fit(docs, labels, text, key, max_docs)
 
     def scored(batch: pa.RecordBatch) -> np.ndarray:
-        texts = [(t or "").encode() for t in batch.column("_text").to_pylist()]
-        return np.concatenate([np.zeros(0), *(model.score(texts[a:b]) for a, b in runs([len(t) for t in texts]))])
+        return np.concatenate([np.zeros(0), *(model.score(texts) for _, _, texts in passes(batch.column("_text")))])
 
     if keep_columns:
         cols = docs.columns
