@@ -70,8 +70,9 @@ def byte_floor(t: Column, n: int | Column) -> Column:
     return F.when(F.octet_length(t) <= n, t).otherwise(F.coalesce(*tries, F.lit("")))
 
 
-def truncate(t: Column, max_tokens: int) -> Column:
+def truncate(t: Column, max_tokens: int | Column) -> Column:
     """Cut to max_tokens * 4 bytes, with a marker, if the estimate is above max_tokens."""
+    max_tokens = max_tokens if isinstance(max_tokens, int) else max_tokens.cast("int")
     return F.when(token_count(t) <= max_tokens, t).otherwise(F.concat(byte_floor(t, max_tokens * CHARS_PER_TOKEN), F.lit("\n…[truncated]")))
 
 

@@ -20,7 +20,7 @@ ACTIONS: dict[str, Callable[..., DataFrame]] = {
     "filter": filtering.filter_lines, "compress": compression.compress, "compress_output": output.compress_output, "summarize": summarize.summarize,
     "summarize_smart": summarize.summarize_smart, "filter_relevant": ranking.filter_relevant, "prune_history": history.prune_history, "chunk": chunking.chunk,
     "resolve": chunking.resolve, "count_tokens": count_tokens, "stats": state.session_stats, "cache_store": state.cache_put, "cache_get": state.cache_get,
-    "cache_invalidate": state.cache_invalidate, "sanitize": sanitize.sanitize, "rerank": ranking.rerank, "brief": brief.brief, "catalog": catalog.catalog,
+    "cache_invalidate": state.cache_invalidate, "sanitize": sanitize.sanitize, "rerank": ranking.rerank, "brief": brief.briefing, "catalog": catalog.catalog,
     "help": catalog.help_for, "playbooks": catalog.playbooks, "playbook": catalog.playbook, "pack": archive.pack, "unpack": archive.unpack, "llm_status": catalog.llm_status,
 }
 

@@ -43,6 +43,14 @@ def within_budget(df: DataFrame, max_tokens: int, conv: str = "conv_id", turn: s
     return out.where((F.col("_sum") <= max_tokens) | (F.col("_age") == 1)).drop("_sum", "_age")
 
 
+def prune_totals(df: DataFrame, pruned: DataFrame, conv: str = "conv_id", text: str = "text") -> DataFrame:
+    """Per conversation: messages, dropped (filler turns), kept, original_tokens, result_tokens, rendered size."""
+    cost = lambda c: F.sum(tx.token_count(rendered(F.col("role"), F.col(c))))
+    before = df.groupBy(conv).agg(F.count(F.lit(1)).alias("messages"), F.count_if(is_filler(F.col(text))).alias("dropped"), cost(text).alias("original_tokens"))
+    after = pruned.groupBy(conv).agg(F.count(F.lit(1)).alias("kept"), cost("text").alias("result_tokens"))
+    return before.join(after, conv, "left").na.fill(0, ["kept", "result_tokens"])
+
+
 def prune_history(df: DataFrame, strategy: str = "hybrid", keep_last: int = 4, thematic: int | None = None, max_tokens: int | None = None, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """Messages (conv, turn, role, text, tier) after pruning by remove, compress, hybrid or afm.
 

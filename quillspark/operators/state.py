@@ -40,10 +40,18 @@ def nearest_rank(values: Column, p: float) -> Column:
 
 
 def session_stats(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Calls, tokens in and out, tokens saved (never negative for a call), ratio, bypass rate."""
+    """Calls, tokens in and out, tokens saved (never negative for a call) and their ratio.
+
+    A boolean column ``bypassed`` adds bypass_ratio; a column ``lazy`` (ad, full or follow:
+    a short listing, a full load, a load of what was listed before) adds lazy_hit_rate.
+    """
     g = calls.groupBy(*by) if by else calls.groupBy()
     saved = F.greatest(F.col("original_tokens") - F.col("result_tokens"), F.lit(0))
-    out = g.agg(F.count(F.lit(1)).alias("calls"), F.sum("original_tokens").alias("original_tokens"), F.sum("result_tokens").alias("result_tokens"), F.sum(saved).alias("tokens_saved"))
+    share = lambda a, b: F.round(F.count_if(a) / F.greatest(F.count_if(b), F.lit(1)), 6)
+    extra = [share(F.col("bypassed"), F.lit(True)).alias("bypass_ratio")] if "bypassed" in calls.columns else []
+    if "lazy" in calls.columns:
+        extra.append(share(F.col("lazy") == "follow", F.col("lazy").isin("ad", "full")).alias("lazy_hit_rate"))
+    out = g.agg(F.count(F.lit(1)).alias("calls"), F.sum("original_tokens").alias("original_tokens"), F.sum("result_tokens").alias("result_tokens"), F.sum(saved).alias("tokens_saved"), *extra)
     return out.withColumn("saved_ratio", F.when(F.col("original_tokens") > 0, F.round(F.col("tokens_saved") / F.col("original_tokens"), 6)).otherwise(0.0))
 
 

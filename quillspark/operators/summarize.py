@@ -125,6 +125,17 @@ def _summary(t: pd.Series, mode: pd.Series, depth: pd.Series, most: pd.Series) -
     return pd.Series([render(sections(x or "", m, d, k), d) for x, m, d, k in zip(t, mode, depth, most, strict=True)])
 
 
+@F.pandas_udf(T.ArrayType(T.StructType().add("level", T.IntegerType()).add("title", T.StringType()).add("bullets", T.ArrayType(T.StringType()))))
+def _sections(t: pd.Series, mode: pd.Series, depth: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([[{"level": a, "title": b, "bullets": c} for a, b, c in sections(x or "", m, d, k)] for x, m, d, k in zip(t, mode, depth, most, strict=True)])
+
+
+def with_sections(df: DataFrame, text: str = "text", mode: str = "auto", max_depth: int = 3, max_bullets: int = 8) -> DataFrame:
+    """Add sections: level, title and bullets in reading order, before any budget."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return df.withColumn("sections", _sections(t, detect_mode(t) if mode == "auto" else F.lit(mode), F.lit(max_depth), F.lit(max_bullets)))
+
+
 def summarize_text(t: Column, mode: Column, depth: Column, most: Column, max_tokens: Column | None = None) -> Column:
     s = _summary(t, mode, depth, most)
     if max_tokens is None:

@@ -200,9 +200,13 @@ ORACLE_SQL = {
     "pytest_drop": picked(f"NOT (ends_with({trim('x')}, ' PASSED') AND NOT contains(x, 'FAILED'))"),
     "gcc_drop": picked(f"contains({low('x')}, 'error') OR contains({low('x')}, 'warning') OR contains({low('x')}, 'undefined') OR NOT contains({low('x')}, 'in function')"),
     "first_sentence": over(MIXED, sentence=sentence("text", 140)),
+    "key_phrases": f"SELECT s.doc_id, coalesce(c, '') AS phrases FROM {MIXED} s LEFT JOIN (SELECT doc_id, string_agg(y, chr(10) ORDER BY i) AS c FROM (SELECT doc_id, i, {sentence('x', 120)} AS y FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM ({exploded(MIXED, trim('x'))}) WHERE strlen(x) > 20) WHERE k <= 6) GROUP BY doc_id) b ON b.doc_id = s.doc_id",
+    "detect_mode": over(MIXED, mode=f"CASE WHEN len(list_filter({lines('text')}, lambda x: contains(x, '/') AND (contains(x, '.') OR ends_with({trim('x')}, '/') OR {starts(trim('x'), '├', '│', '└', '- ')}))) >= 5 THEN 'filetree' WHEN len(list_filter({lines('text')}, lambda x: {starts(low('x'), 'user:', 'assistant:', 'system:', '**user**', '**assistant**')})) >= 2 THEN 'conversation' ELSE 'outline' END"),
+    "code_squeeze": whole(f"SELECT doc_id, i, x FROM (SELECT *, last_value(CASE WHEN contains(x, '*/') THEN 0 WHEN starts_with(x, '/*') THEN 1 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM ({exploded(NOISE, trim('x'))})) WHERE coalesce(inside, 0) = 0 AND NOT starts_with(x, '/*') AND CASE WHEN starts_with(x, '//') OR (starts_with(x, '#') AND NOT starts_with(x, '#!')) THEN {' OR '.join(f"contains(x, {q(n)})" for n in compression.NOTES)} OR {starts('x', '///', '//!')} ELSE x NOT IN ({', '.join(map(q, compression.LONE_BRACKETS))}) END"),
     "filetree_ext_counts": "SELECT lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS ext, count(*) AS n FROM pages GROUP BY 1",
     "outline_sections": f"SELECT doc_id, i AS line_no, CASE WHEN k BETWEEN 1 AND 6 THEN k ELSE 1 END AS level, {sub(trim(sub('x', '^#+')), ':+$')} AS title FROM (SELECT *, length(regexp_extract(x, '^#*', 0)) AS k FROM ({exploded(MIXED, trim('x'))})) WHERE k BETWEEN 1 AND 6 OR (strlen(x) < 60 AND regexp_matches(x, '\\p{{L}}') AND NOT regexp_matches(x, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]'))",
     "prune_remove": f"SELECT conv_id, turn, role, text FROM (SELECT conv_id, turn, role, text, {low(trim('text'))} AS x FROM (SELECT conv_id, turn, role, {_said} AS text FROM conversations)) WHERE NOT {_fill}",
+    "prune_hybrid": f"WITH b AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS a FROM (SELECT conv_id, turn, role, {low(trim('text'))} AS x FROM (SELECT conv_id, turn, role, {_said} AS text FROM conversations)) WHERE NOT {_fill}) SELECT conv_id, turn, role, 'critical' AS tier FROM b WHERE a <= 4 UNION ALL SELECT conv_id, min(turn), 'system', 'thematic' FROM b WHERE a > 4 GROUP BY conv_id",
     "prune_afm_tiers": "SELECT conv_id, tier, count(*) AS n, min(turn) AS first FROM (SELECT *, CASE WHEN a <= 2 THEN 'critical' WHEN a <= 5 THEN 'thematic' ELSE 'distant' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS a FROM conversations)) GROUP BY conv_id, tier",
     "prune_budget": f"SELECT conv_id, turn FROM (SELECT *, sum(k) OVER w AS s, row_number() OVER w AS a FROM (SELECT *, {tokens_of(chr(40) + 'role || ' + q(': ') + ' || ' + trim('text') + ' || chr(10))')} AS k FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE s <= 120 OR a = 1",
     "bm25_rank": f"SELECT doc_id, round(score, 6) AS score FROM ({bm25()})",

@@ -170,6 +170,62 @@ def test_brief_over_a_workspace(spark, tmp_path):
     assert {r.path for r in got} >= {"src/retry.py", "docs/retry.md"} and [r["rank"] for r in got] == sorted(r["rank"] for r in got)
 
 
+def test_ignore_files_and_allowed_root(spark, tmp_path):
+    (tmp_path / ".gitignore").write_text("# none\n*.md\n!keep.md\n/top/\nsub/**/x.py\n")
+    for name in ("a.md", "keep.md", "top/b.py", "in/top/b.py", "sub/x.py", "sub/y/z/x.py", "sub/w.py", "Makefile", "noext"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("some text")
+    assert {r.path for r in workspace.files(spark, str(tmp_path)).collect()} == {"keep.md", "in/top/b.py", "sub/w.py", "Makefile"}
+    assert workspace.checked_root(str(tmp_path / "in"), str(tmp_path)) and workspace.checked_root("s3://b/x", "s3://b")
+    for root in (str(tmp_path / ".." / "else"), "s3://b/x"):
+        with pytest.raises(ValueError, match="outside"):
+            workspace.checked_root(root, str(tmp_path))
+
+
+def test_query_windows(spark):
+    parts = [f"w{i} " * 200 for i in range(30)]
+    body = "".join(parts[:17]) + " needle404 here " + "".join(parts[17:])
+    d = docs(spark, body, body, "small", None)
+    got = workspace.query_windows(d, "needle404", 3000, F.col("doc_id").isin(0, 3)).orderBy("doc_id").collect()
+    assert "needle404" in got[0].text and len(got[0].text.encode()) <= 3000 + 3 * len(workspace.WINDOW_BREAK)
+    assert got[1].text == body and got[2].text == "small" and got[3].text == ""
+    none = workspace.query_windows(d, "zzz", 3000, F.col("doc_id") == 0).where("doc_id = 0").first().text
+    assert none.startswith("w0 w0")
+
+
+def test_evidence_cuts_what_does_not_fit(spark):
+    rows = spark.createDataFrame([(1, "code", "word " * 100), (2, "code", "more " * 400), (3, "doc", "text " * 10)], "rank int, kind string, text string")
+    got = {r["rank"]: r.text for r in brief.evidence(rows, 300).collect()}
+    assert got[1] == "word " * 100 and got[2].endswith("…[truncated]") and len(got[2]) < 1300
+    got = brief.evidence(rows.where("rank = 2"), 30).collect()
+    assert len(got) == 1 and got[0].text.endswith("…[truncated]")
+    assert brief.evidence(rows.limit(0), 300).count() == 0
+
+
+def test_briefing_has_six_headings(spark, tmp_path):
+    import os
+
+    for name, text, at in (("src/retry.py", "def retry_policy():\n    return 3\n", 1704067200), ("docs/retry.md", "# Retry policy\nThe retry policy: password=hunter2hunter2\n", 1700000000)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+        os.utime(tmp_path / name, (at, at))
+    got = gateway.run("brief", spark, str(tmp_path), "rank retry_policy", now=1704067200).first()
+    assert re.findall(r"(?m)^## (.*)$", got.briefing) == ["Task", "Status", "Evidence", "Caveats", "Sources", "Read next"]
+    assert "possibly stale: docs/retry.md" in got.briefing and "hunter2" not in got.briefing and "cmp://skill/action/rerank" in got.briefing
+    assert got.sources[0] == "src/retry.py" and got.selected_files == 2 and got.cache_key.startswith("cache://brief/")
+
+
+def test_sections_totals_and_ratios(spark):
+    got = summarize.with_sections(docs(spark, "# One\ntext one.\n## Two\nx"), mode="outline").first().sections
+    assert [(s.level, s.title, s.bullets) for s in got] == [(1, "One", ["text one."]), (2, "Two", ["x"])]
+    talk = spark.createDataFrame([(1, 0, "user", "a long question about things"), (1, 1, "user", "ok")], "conv_id long, turn long, role string, text string")
+    got = history.prune_totals(talk, history.prune_history(talk, "remove")).first()
+    assert (got.messages, got.dropped, got.kept) == (2, 1, 1) and got.result_tokens < got.original_tokens
+    calls = spark.createDataFrame([(10, 4, True, "ad"), (5, 9, False, "full"), (5, 5, False, "follow"), (0, 0, False, None)], "original_tokens long, result_tokens long, bypassed boolean, lazy string")
+    got = state.session_stats(calls).first()
+    assert (got.tokens_saved, got.bypass_ratio, got.lazy_hit_rate) == (6, 0.25, 0.5)
+
+
 def test_playbooks(spark, tmp_path):
     (tmp_path / "logs.md").write_text("---\nid: noisy\nname: Noisy logs\ndescription: shrink logs\ntags: logs, noise\n---\nStep: password=hunter2hunter2\n")
     books = catalog.playbooks(spark, str(tmp_path))

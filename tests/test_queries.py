@@ -8,7 +8,7 @@ from quillspark.plans import oracles, queries
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Operators that no SQL expresses; their logic is tested in test_operators.py.
-ROWS_ONLY = {"dedupe_jaccard", "code_squeeze", "compress", "compress_output", "key_phrases", "detect_mode", "summarize", "prune_hybrid", "bm25_line_keep", "chunk_semantic", "resolve_chunk", "evidence_budget"}
+ROWS_ONLY = {"dedupe_jaccard", "compress", "compress_output", "summarize", "bm25_line_keep", "chunk_semantic", "resolve_chunk", "evidence_budget"}
 
 
 @pytest.fixture(scope="module")
