@@ -124,9 +124,10 @@ def briefing(spark: SparkSession, root: str, task: str, now: int, max_tokens: in
 
     The briefing has six headings (task, status, evidence, caveats, sources, read next) and
     is scrubbed as a whole. It is put together from at most ``max_files`` files and
-    ``top_k`` excerpts; no model is called.
+    ``top_k`` excerpts; no model is called. The selected files, within ``max_total_bytes``,
+    are used five times and so kept in memory; what is lost is computed again.
     """
-    kept = selected(spark, root, task, now, **options)
+    kept = selected(spark, root, task, now, **options).persist()
     found = evidence_of(kept, task, max_tokens, top_k)
     order = F.struct((-F.col("file_score")).alias("o"), "path")
     listed = lambda column, by: F.transform(F.array_sort(F.collect_list(F.struct(by.alias("by"), column.alias("x")))), lambda s: s["x"])
