@@ -253,7 +253,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest digest reachable from each (key, comp) node over edges (a, b).
 
-    Every round takes the least label around a node, then the label's own label; rounds
+    Nodes start as classes of their own (comp is key): labels that stand for earlier links
+    would be lost where these are not among the edges; ``merged`` takes such labels. Every round takes the least label around a node, then the label's own label; rounds
     stop when no label changes. A hub's messages are combined before the shuffle, and joins
     on it are split by adaptive execution. Labels are written each round, so lineage is cut.
     """
@@ -269,6 +270,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (key, comp) joined by further links (a, b) between their members.
+
+    Links are lifted to the classes of their ends, so that whole classes merge, whichever
+    members the links name; only classes with such links go through the rounds.
+    """
+    of = lambda c: labels.select(F.col("key").alias(c), F.col("comp").alias(f"c{c}"))
+    lifted = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(F.col("ca") != F.col("cb"))
+    lifted = staged(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "lifted")
+    heads = lifted.select(F.col("a").alias("key")).unionByName(lifted.select(F.col("b").alias("key"))).distinct()
+    found = components(heads.select("key", F.col("key").alias("comp")), lifted).select(F.col("key").alias("comp"), F.col("comp").alias("further"))
+    return staged(labels.join(found, "comp", "left").select("key", F.coalesce("further", "comp").alias("comp")), "merged")
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Class of every row: rows linked by equal texts or by similarity, however indirectly.
 
@@ -312,9 +327,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
 
     for centre in range(CENTRES):
         links = staged(_verified(pairs_left(labels, centre), texts, width, similarity), "links")
-        labels = components(labels, links)
+        labels = merged(labels, links) if centre else components(labels, links)
     links = staged(_rest(member, labels, texts, width, similarity), "links")
-    labels = components(labels, links)
+    labels = merged(labels, links)
 
     node = reps.join(labels, "key", "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id", "n")
     heads = node.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("head"), F.sum("n").alias("class_size"))

@@ -172,6 +172,23 @@ def test_near_dedup_against_all_pairs(spark, docs, none):
     assert near_dedup.classes(none).count() == 0 == near_dedup.deduplicated(none).count()
 
 
+@pytest.mark.parametrize("first, then", [("de df", "eb"), ("ab ac de df", "fb")])
+def test_near_dedup_keeps_links_of_both_rounds(spark, monkeypatch, first, then):
+    base = [f"w{k}" for k in range(400)]
+    by_key = sorted(hashlib.md5(t.encode()).digest() + t.encode() for t in (" ".join([*base, f"e{i}"]) for i in range(6)))
+    key = dict(zip("abcdef", (x[:16] for x in by_key), strict=True))
+    links = lambda names: lambda *_: spark.createDataFrame([(key[a], key[b]) for a, b in names.split()], "a binary, b binary")
+    monkeypatch.setattr(near_dedup, "_verified", links(first))
+    monkeypatch.setattr(near_dedup, "_rest", links(then))
+    rows = [(i, x[16:].decode()) for i, x in enumerate(by_key)]
+    up = list(range(6))
+    for a, b in f"{first} {then}".split():
+        x, y = sorted((up["abcdef".index(a)], up["abcdef".index(b)]))
+        up = [x if u == y else u for u in up]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.class_size, r.kept) for r in got} == {i: (u, up.count(u), u == i) for i, u in enumerate(up)}
+
+
 def test_near_dedup_odd_rows(odd):
     got = near_dedup.classes(odd).collect()
     assert len(got) == len(ODD)
