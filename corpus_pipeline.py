@@ -27,7 +27,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_codec.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests_only=True)
+    return bpe_codec.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), packed=True)
 
 
 STAGES = [

@@ -38,16 +38,19 @@ class Codec:
         return b"".join(map(piece, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", digests_only: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", digests_only: bool = False, packed: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns key as ``doc_id``, ``n_tokens``, ``ids`` (array of int) and ``decoded``, or with
     ``digests_only`` the SHA-256 of the packed ids and of the decoded text in their place.
+    ``packed`` gives ``ids`` as packed little-endian 32-bit ids (binary) and both digests.
     Null and empty texts give no ids and an empty text; a null key stays null; repeated
     rows each give a row; other columns are ignored, whatever their names. No shuffle.
     """
     tail = "ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string"
     kinds = [pa.string(), pa.string()] if digests_only else [pa.list_(pa.int32()), pa.string()]
+    if packed:
+        tail, kinds = "ids binary, ids_sha256 string, decoded_sha256 string", [pa.binary(), pa.string(), pa.string()]
     names = [x.split()[0] for x in tail.split(", ")]
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *zip(names, kinds, strict=True)])
 
@@ -56,25 +59,26 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
         for batch in batches:
             texts = batch.column(1)
             for a, b in runs([x or 0 for x in pa.compute.binary_length(texts).to_pylist()]):
-                packed = [codec.encode(t) for t in texts.slice(a, b - a).to_pylist()]
-                back = [codec.decode(p) for p in packed]
-                if digests_only:
-                    two = [[hashlib.sha256(p).hexdigest() for p in packed], [hashlib.sha256(t.encode()).hexdigest() for t in back]]
+                ids = [codec.encode(t) for t in texts.slice(a, b - a).to_pylist()]
+                back = [codec.decode(p) for p in ids]
+                if digests_only or packed:
+                    digests = [[hashlib.sha256(p).hexdigest() for p in ids], [hashlib.sha256(t.encode()).hexdigest() for t in back]]
+                    columns = [ids, *digests] if packed else digests
                 else:
-                    two = [[np.frombuffer(p, "<i4") for p in packed], back]
-                yield table_of({"doc_id": batch.column(0).slice(a, b - a), "n_tokens": [len(p) // 4 for p in packed], **dict(zip(names, two, strict=True))}, out)
+                    columns = [[np.frombuffer(p, "<i4") for p in ids], back]
+                yield table_of({"doc_id": batch.column(0).slice(a, b - a), "n_tokens": [len(p) // 4 for p in ids], **dict(zip(names, columns, strict=True))}, out)
 
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {tail}")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """Texts of id arrays; null arrays give empty texts, invalid byte sequences U+FFFD."""
+    """Texts of id arrays or packed ids; null ones give empty texts, invalid byte sequences U+FFFD."""
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         for batch in batches:
-            texts = [codec.decode(np.asarray(x or [], dtype="<u4").tobytes()) for x in batch.column(1).to_pylist()]
+            texts = [codec.decode(x if isinstance(x, bytes) else np.asarray(x or [], dtype="<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield table_of({"doc_id": batch.column(0), "text": texts}, out)
 
     return df.select(df[key].cast("long").alias("doc_id"), df[ids].alias("ids")).mapInArrow(run, "doc_id long, text string")

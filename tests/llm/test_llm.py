@@ -386,5 +386,18 @@ def test_pipeline_stages(spark, docs):
     assert Counter(corpus_pipeline.run(spark, SF).collect()) == Counter(before.collect())
 
 
+def test_pipeline_ends_in_ids(spark, docs, odd):
+    t = Tokenizer.from_file(BYTE)
+    for df in (docs, odd):
+        out = corpus_pipeline.bpe_encoding(spark, df, SF)
+        got = Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.ids_sha256) for r in out.collect())
+        want = Counter()
+        for i, x in pairs(df):
+            ids = np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+            want[i, len(ids) // 4, ids, hashlib.sha256(ids).hexdigest()] += 1
+        assert got == want
+        assert Counter(map(tuple, bpe_codec.decode(out, BYTE).collect())) == Counter(pairs(df))
+
+
 def test_every_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
