@@ -41,18 +41,21 @@ def scan(docs: DataFrame, licences: DataFrame | None = None, text: str = "text",
     null) and notices (licences named by whole lines, sorted, comma-separated, or null).
     Whole texts meet the digests in a hash join; Spark broadcasts the known table only
     while its measured size is under its own limit. Lines are looked up in the row against
-    the notices when there are at most 10,000 of these, a bound that is checked.
+    the notices when there are at most 10,000 of these, a bound that is checked; notices
+    of the caller meet all lines, those of the known table the lines with its common word.
 
     Null, empty and punctuation-only texts share the digest of the empty text and match
     nothing; repeated rows each give a row; null keys stay; other columns are ignored.
     """
     spark = docs.sparkSession
-    licences = known(spark) if licences is None else licences
+    lines = F.split("text", "\n")
+    if licences is None:  # every notice of the known table has this word, so the filter loses none
+        licences, lines = known(spark), F.filter(lines, lambda x: x.rlike("(?i)licen[cs]e"))
     notices = licences.where("kind = 'notice'").select("digest", "licence").limit(10_001).collect()
     if len(notices) > 10_000:
         raise ValueError("more than 10,000 notices: join their digests instead")
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), F.filter(F.split("text", "\n"), lambda x: x.rlike("(?i)licen[cs]e")).alias("lines"))
+    rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), lines.alias("lines"))
     if notices:
         named = F.create_map(*[F.lit(x) for r in notices for x in (r["digest"], r["licence"])])
         found = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: F.try_element_at(named, digest(x))), lambda x: x.isNotNull())))

@@ -215,6 +215,14 @@ def test_licences(spark, odd, none):
     assert licences.scan(odd).count() == len(ODD) and licences.scan(none).count() == 0
 
 
+def test_notices_of_the_caller_need_no_word(spark):
+    given = spark.createDataFrame([("CC0-1.0", "notice", "Dedicated to the public domain.")], "licence string, kind string, text string")
+    given = given.select("licence", "kind", licences.digest(F.col("text")).alias("digest"))
+    rows = spark.createDataFrame([(1, "some words\nDedicated to the Public Domain"), (2, "other words")], "doc_id long, text string")
+    assert {r.doc_id: r.notices for r in licences.scan(rows, given).collect()} == {1: "CC0-1.0", 2: None}
+    assert all(re.search("(?i)licen[cs]e", t) for ts in licence_texts.NOTICES.values() for t in ts)
+
+
 # ------------------------------------------------------------------ 3: fingerprints
 @pytest.mark.parametrize("blocks", [1, 7])
 def test_neighbour_edits(docs, odd, none, blocks):
