@@ -7,19 +7,36 @@ from pyspark.sql import functions as F
 
 from . import licence_texts
 
-#: A line that only states who holds the copyright (matched without case).
-COPYRIGHT_LINE = r"[ \t]*(copyright[^a-z]|\(c\)|\xa9|all rights reserved)[^\n]*"
+#: White space, punctuation and symbols but the line break, as a class body for Java and RE2 alike.
+MARKS = r"\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f\xa0-\xbf"
+#: A line that only states who holds the copyright, in lower case: "copyright" (after marks of a
+#: comment) goes on with the sign, a year, a placeholder or "by", so that wrapped sentences about
+#: copyright notices and list items "(c)" are none.
+COPYRIGHT_LINE = rf"[{MARKS}]*(copyright[ \t:]*(\(c\)|\xa9|[0-9<\[{{]|by[ \t])|\(c\)[ \t]*(copyright|[0-9])|\xa9)[^\n]*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, no punctuation, one spelling, single blanks."""
+def _words(text: Column) -> Column:
+    """Lower case, no copyright lines, two blanks around every word, one spelling; line breaks stay."""
     t = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
     t = F.regexp_replace(F.concat(F.lit("\n"), t), rf"\n{COPYRIGHT_LINE}", "\n")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[\x00-\x2f\x3a-\x60\x7b-\x7f\xa0-\xbf]+", " "), F.lit(" "))
+    t = F.concat(F.replace(F.regexp_replace(t, rf"[{MARKS}]+", "  "), F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
     for found, kept in licence_texts.SPELLINGS.items():
         t = F.replace(t, F.lit(f" {found} "), F.lit(f" {kept} "))
-    return F.btrim(F.regexp_replace(t, "  +", " "))
+    return t
+
+
+def _joined(words: Column) -> Column:
+    """The words of ``_words`` without line breaks, with phrases as one, parted by single blanks."""
+    t = F.regexp_replace(words, "[ \n]+", "  ")
+    for found, kept in licence_texts.PHRASES.items():
+        t = F.replace(t, F.lit(f" {found.replace(' ', '  ')} "), F.lit(f" {kept} " if kept else ""))
+    return F.btrim(F.regexp_replace(t, " +", " "))
+
+
+def canonical(text: Column) -> Column:
+    """Lower case, no copyright lines, no punctuation, one spelling, single blanks, however lines are wrapped."""
+    return _joined(_words(text))
 
 
 def digest(text: Column) -> Column:
@@ -27,67 +44,66 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    """Digest, licence and kind of every known text and notice: a fixed table of some dozens."""
-    rows = [(k, "text", t) for k, t in licence_texts.TEXTS.items()] + [(k, "notice", t) for k, ts in licence_texts.NOTICES.items() for t in ts]
-    df = spark.createDataFrame(rows, "licence string, kind string, text string")
-    return df.select("licence", "kind", digest(F.col("text")).alias("digest")).dropDuplicates(["digest"])
+    """Licence, kind and digest of all known texts and notices: a fixed table of some hundreds."""
+    df = spark.createDataFrame(licence_texts.known(), "licence string, kind string, text string, digest string")
+    return df.select("licence", "kind", F.when(F.col("digest") == "", digest(F.col("text"))).otherwise(F.col("digest")).alias("digest"))
 
 
 def scan(docs: DataFrame, licences: DataFrame | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Find texts that are a known licence, and lines that are a known notice.
 
-    ``licences`` has licence, kind (text, notice) and digest, one row per digest. Returns
-    doc_id, digest (of the whole canonical text), licence (whose text the document is, or
-    null) and notices (licences named by whole lines, sorted, comma-separated, or null).
-    Whole texts meet the digests in a hash join; Spark broadcasts the known table only
-    while its measured size is under its own limit. Lines are looked up in the row against
-    the notices when there are at most 10,000 of these, a bound that is checked; notices
-    of the caller meet all lines, those of the known table the lines with its common word.
+    ``licences`` has licence, kind (text, notice) and digest; of several licences with one
+    digest the first by name counts. Returns doc_id, digest (of the whole canonical text),
+    licence (whose text the document is, or null) and notices (licences named by whole
+    lines, sorted, comma-separated, or null).
+
+    Every text gives the digest of its whole and those of its different lines; all of them
+    meet the known digests in one hash join, of which Spark broadcasts the known side only
+    while its measured size is under its own limit. What has found nothing ends there, so
+    little more than a row per text is shuffled, and the texts are read once.
 
     Null, empty and punctuation-only texts share the digest of the empty text and match
-    nothing; repeated rows each give a row; null keys stay; other columns are ignored.
+    nothing; repeated rows each give a row; null keys stay; an empty table gives an empty
+    one; other columns are ignored.
     """
-    spark = docs.sparkSession
-    lines = F.split("text", "\n")
-    if licences is None:  # every notice of the known table has this word, so the filter loses none
-        licences, lines = known(spark), F.filter(lines, lambda x: x.rlike("(?i)licen[cs]e"))
-    notices = licences.where("kind = 'notice'").select("digest", "licence").limit(10_001).collect()
-    if len(notices) > 10_000:
-        raise ValueError("more than 10,000 notices: join their digests instead")
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), lines.alias("lines"))
-    if notices:
-        named = F.create_map(*[F.lit(x) for r in notices for x in (r["digest"], r["licence"])])
-        found = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: F.try_element_at(named, digest(x))), lambda x: x.isNotNull())))
-    else:
-        found = F.array().cast("array<string>")
-    rows = rows.select("doc_id", "digest", F.when(F.size(found) > 0, F.array_join(found, ",")).alias("notices"))
-    texts = licences.where("kind = 'text'").select(F.col("digest").alias("_d"), "licence").dropDuplicates(["_d"])
     empty = F.sha2(F.lit(""), 256)
-    return rows.join(texts, (F.col("digest") == F.col("_d")) & (F.col("digest") != empty), "left").select("doc_id", "digest", "licence", "notices")
+    licences = known(docs.sparkSession) if licences is None else licences
+    licences = licences.where(F.col("digest") != empty).groupBy("kind", "digest").agg(F.min("licence").alias("licence"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].cast("long").alias("doc_id"), F.inline(F.array(F.struct(_words(docs[text]).alias("words")))))
+    mark = lambda kind, d: F.struct(F.lit(kind).alias("kind"), d.alias("digest"))
+    lines = F.filter(F.array_distinct(F.transform(F.split("words", "\n"), _joined)), lambda x: x != "")
+    marks = F.concat(F.array(mark("text", F.sha2(_joined(F.col("words")), 256))), F.transform(lines, lambda x: mark("notice", F.sha2(x, 256))))
+    found = rows.select("row", "doc_id", F.inline(marks)).join(licences, ["kind", "digest"], "left").where((F.col("kind") == "text") | F.col("licence").isNotNull())
+    whole = F.col("kind") == "text"
+    got = found.groupBy("row", "doc_id").agg(F.max(F.when(whole, F.col("digest"))).alias("digest"), F.max(F.when(whole, F.col("licence"))).alias("licence"), F.array_sort(F.collect_set(F.when(~whole, F.col("licence")))).alias("notices"))
+    return got.select("doc_id", "digest", "licence", F.when(F.size("notices") > 0, F.array_join("notices", ",")).alias("notices"))
 
 
 def oracle_sql() -> str:
     """The scan of ``documents`` in DuckDB SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
-    def canon(x: str) -> str:
+    def words(x: str) -> str:
         t = f"translate(coalesce({x}, ''), '{_UPPER}', '{_LOWER}')"
         t = f"regexp_replace(chr(10) || {t}, '\\n{COPYRIGHT_LINE}', chr(10), 'g')"
-        t = f"' ' || regexp_replace({t}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f\\xa0-\\xbf]+', ' ', 'g') || ' '"
+        t = f"replace(regexp_replace({t}, '[{MARKS}]+', '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || '  '"
         for found, kept in licence_texts.SPELLINGS.items():
             t = f"replace({t}, ' {found} ', ' {kept} ')"
-        return f"trim(regexp_replace({t}, '  +', ' ', 'g'))"
-
-    rows = [(k, "text", t) for k, t in licence_texts.TEXTS.items()] + [(k, "notice", t) for k, ts in licence_texts.NOTICES.items() for t in ts]
-    values = ", ".join(f"({q(k)}, {q(kind)}, {q(t)})" for k, kind, t in rows)
-    return f"""WITH given(licence, kind, t) AS (VALUES {values}),
-known AS (SELECT licence, kind, sha256({canon("t")}) AS d FROM given),
-docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+        return t
+
+    def joined(x: str) -> str:
+        t = f"regexp_replace({x}, '[ \\n]+', '  ', 'g')"
+        for found, kept in licence_texts.PHRASES.items():
+            t = f"replace({t}, ' {found.replace(' ', '  ')} ', '{f' {kept} ' if kept else ''}')"
+        return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+
+    values = ", ".join(f"({q(k)}, {q(kind)}, {q(t)}, {q(d)})" for k, kind, t, d in licence_texts.known())
+    return f"""WITH given(licence, kind, t, d) AS (VALUES {values}),
+known AS (SELECT kind, d, min(licence) AS licence FROM (SELECT licence, kind, CASE WHEN d = '' THEN sha256({joined(words("t"))}) ELSE d END AS d FROM given) WHERE d <> sha256('') GROUP BY kind, d),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+lines AS (SELECT r, unnest(string_split(w, chr(10))) AS line FROM docs),
 noted AS (SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
-  FROM lines JOIN known ON kind = 'notice' AND sha256({canon("line")}) = d
-  WHERE regexp_matches(line, '(?i)licen[cs]e') GROUP BY r),
-whole AS (SELECT r, doc_id, sha256({canon("text")}) AS digest FROM docs)
+  FROM lines JOIN known ON kind = 'notice' AND sha256({joined("line")}) = d GROUP BY r),
+whole AS (SELECT r, doc_id, sha256({joined("w")}) AS digest FROM docs)
 SELECT doc_id, digest, known.licence, notices FROM whole
 LEFT JOIN known ON kind = 'text' AND digest = d LEFT JOIN noted USING (r)"""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -207,20 +208,89 @@ def test_signatures_estimate_probability_jaccard():
 
 
 # ------------------------------------------------------------------ 2: licences
-def test_licences(spark, odd, none):
-    mit = licence_texts.TEXTS["MIT"]
-    rows = [(1, "Copyright (c) 2020 A. Person\n\n" + mit.upper()), (2, mit.replace("sublicense", "sublicence").replace(",", " ,")), (3, mit + " more"), (4, "some words\nReleased under the MIT Licence!\n"), (5, None)]
-    got = {r.doc_id: (r.licence, r.notices) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("MIT", None), 2: ("MIT", None), 3: (None, None), 4: (None, "MIT"), 5: (None, None)}
-    assert licences.scan(odd).count() == len(ODD) and licences.scan(none).count() == 0
-
-
-def test_notices_of_the_caller_need_no_word(spark):
-    given = spark.createDataFrame([("CC0-1.0", "notice", "Dedicated to the public domain.")], "licence string, kind string, text string")
-    given = given.select("licence", "kind", licences.digest(F.col("text")).alias("digest"))
-    rows = spark.createDataFrame([(1, "some words\nDedicated to the Public Domain"), (2, "other words")], "doc_id long, text string")
-    assert {r.doc_id: r.notices for r in licences.scan(rows, given).collect()} == {1: "CC0-1.0", 2: None}
-    assert all(re.search("(?i)licen[cs]e", t) for ts in licence_texts.NOTICES.values() for t in ts)
+def wrapped(text, width, start="", end="\n"):
+    """The paragraphs of a text broken to lines of a width."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    return end.join(start + line for p in paragraphs for line in [*textwrap.wrap(p, width), ""])
+
+
+def licence_files():
+    """(expected licence, text) of files as projects ship them."""
+    t = {k: v[0] for k, v in licence_texts.TEXTS.items()}
+    out = [("MIT", f"MIT License\n\nCopyright (c) 2021-2024 A. Person <a@b.example>\n\n{wrapped(t['MIT'], w)}") for w in (60, 72, 80, 500)]
+    out += [("MIT", f"The MIT License (MIT)\r\n\r\nCopyright \xa9 2019, Some Body\r\nCopyright (C) Other\r\n\r\n" + wrapped(t["MIT"], 76, end="\r\n"))]
+    out += [("MIT", "// Copyright 2020 The Authors. All rights reserved.\n//\n" + wrapped(t["MIT"], 70, "// ")), ("MIT", t["MIT"].upper()), ("MIT", t["MIT"].replace("sublicense", "sublicence").replace("NONINFRINGEMENT", "NON-INFRINGEMENT"))]
+    for k in ("ISC", "0BSD", "MIT-0", "Unlicense", "BSL-1.0", "Zlib", "BSD-2-Clause", "BSD-3-Clause"):
+        out += [(k, f"{licence_texts.TITLES[k][0]}\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n{wrapped(t[k], w)}") for w in (50, 66, 79)]
+    out += [("BSD-3-Clause", wrapped(licence_texts.TEXTS["BSD-3-Clause"][-28], 72, " * "))]
+    return out
+
+
+def test_licence_files_of_every_shape(spark):
+    files = licence_files()
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(rows).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(files)}
+
+
+def test_long_licences_by_digest(spark):
+    shipped = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for name, licence in names.items():
+        try:
+            with open(f"{shipped}/{name}", encoding="utf-8") as f:
+                t = f.read()
+        except FileNotFoundError:
+            pytest.skip("no licence files on this machine")
+        # the same words in other lines, up to copyright lines, which must stay lines
+        other = "\n".join(x if "opyright" in x else " ".join(x.split()) + "  " for x in t.split("\n"))
+        rows += [(licence, t), (licence, other.replace("\n", "\r\n")), (None, t + " one more word")]
+    got = licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licence for r in got} == {i: k for i, (k, _) in enumerate(rows)}
+
+
+def test_canonical_form(spark):
+    pairs_ = [
+        ("Licence licence LICENCE", "license license license"), ("a\ncopyright notice and this\nb", "a copyright notice and this b"), ("a\n  (c) You must retain\nb", "a c you must retain b"),
+        ("a\nCopyright (c) 2020 X\nCopyright 2021 Y\n(c) 2020 Z\nb", "a b"), ("a\n# Copyright [yyyy] [name]\nb", "a b"), ("non-infringement non\ninfringement", "noninfringement noninfringement"), (None, ""), (" .,\n\t", ""),
+    ]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pairs_)], "i int, t string").select("i", licences.canonical(F.col("t")).alias("c")).collect()
+    assert {r.i: r.c for r in got} == {i: c for i, (_, c) in enumerate(pairs_)}
+
+
+def test_licence_scan_equals_its_sql_on_planted_texts(spark, docs, odd):
+    import duckdb
+
+    planted = [(10_000_000 + i, t) for i, (_, t) in enumerate(licence_files())]
+    notes = [(20_000_000, "some words\nReleased under the MIT Licence!\n# SPDX-License-Identifier: GPL-3.0-or-later\nLicensed under CC BY 4.0."), (20_000_001, "words released under the MIT License."), (20_000_001, "Licence licence")]
+    rows = [*pairs(docs), *[(r.doc_id, r.text) for r in odd.collect()], *planted, *notes]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, licences.scan(df).collect()))
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    assert got == Counter(con.execute(licences.oracle_sql()).fetchall())
+    assert sum(n for r, n in got.items() if r[2]) == len(planted) and {r[0]: r[3] for r in got if r[0] and r[0] >= 20_000_000} == {20_000_000: "CC-BY-4.0,GPL-3.0,MIT", 20_000_001: None}
+
+
+def test_licences_odd_rows(odd, none):
+    got = licences.scan(odd).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in ODD) and all(r.licence is None and r.notices is None for r in got)
+    assert {r.doc_id for r in got if r.digest == empty} == {1, 2, 3} and licences.scan(none).count() == 0
+
+
+def test_any_number_of_notices_and_no_word_they_need(spark):
+    given = [("CC0-1.0", "notice", "Dedicated to the public domain."), ("B", "notice", "twice known"), ("A", "notice", "twice known"), *((f"L{i}", "notice", f"notice number {i}") for i in range(12_000))]
+    given = spark.createDataFrame(given, "licence string, kind string, text string").select("licence", "kind", licences.digest(F.col("text")).alias("digest"))
+    rows = spark.createDataFrame([(1, "some words\nDedicated to the Public Domain\nNotice number 11999\nnotice, number 7"), (2, "other words"), (3, "twice KNOWN\ntwice known")], "doc_id long, text string")
+    assert {r.doc_id: r.notices for r in licences.scan(rows, given).collect()} == {1: "CC0-1.0,L11999,L7", 2: None, 3: "A"}
+    hint = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table too large to broadcast
+    try:
+        assert {r.doc_id: r.notices for r in licences.scan(rows, given).collect()} == {1: "CC0-1.0,L11999,L7", 2: None, 3: "A"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", hint)
 
 
 # ------------------------------------------------------------------ 3: fingerprints
