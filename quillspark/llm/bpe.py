@@ -1,4 +1,4 @@
-"""Byte-pair vocabularies, exact pre-splitting, and the two merge loops.
+"""Byte-pair vocabularies and the two merge loops, over tables of known words.
 
 ``VOCABULARY`` files are parameters (paths); they are never copied here. The files are
 small and fixed, so every executor reads its own installed copy once per worker.
@@ -9,23 +9,11 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import struct
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
-import regex
-
-#: Pre-split patterns of the two vocabularies (fixed values of the published tokenizers).
-BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-#: Characters on which the plain ``re`` classes below agree with the Unicode ones above.
-_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xffŒœ"
-_PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}–—‘’“”…]*").fullmatch
-_FAST_BYTE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t\n\r 0-9{_LETTERS}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+").findall
-_FAST_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\t\n\r 0-9{_LETTERS}]+").findall
-_FULL_BYTE = regex.compile(BYTE_LEVEL_SPLIT).findall
-_FULL_WORD = regex.compile(WORD_LEVEL_SPLIT).findall
+from .word_table import TextTable
 
 NEVER = 1 << 60
 #: Words of more bytes go through the heap, as scanning a rank array is quadratic.
@@ -138,10 +126,6 @@ def count_by_heap(v: Vocabulary, word: bytes) -> int:
     return len(ids) - _heap_merges(v, ids)[1]
 
 
-def split_byte_level(text: str) -> list[str]:
-    return _FAST_BYTE(text) if _PLAIN(text) else _FULL_BYTE(text)
-
-
 #: Beyond this code point, scripts and Unicode versions differ enough to ask the library itself.
 _KNOWN = re.compile("[\x00-\u052f\u1e00-\u1eff\u2000-\u206f]*").fullmatch
 
@@ -153,16 +137,14 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
-def split_word_level(text: str, path: str) -> list[str]:
-    """Normalise (NFC, white space, lower case letter by letter) and split; white space goes.
+def normalised(text: str, path: str) -> str | list[str]:
+    """NFC and lower case letter by letter, still to be split, or the words themselves.
 
     Texts with characters whose class depends on the Unicode version are normalised and
     split by the tokenizers library's own stages, so that versions cannot disagree.
     """
-    if _PLAIN(text):
-        return _FAST_WORD(text.lower())
     if _KNOWN(text):
-        return _FULL_WORD(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
     t = library(path)
     back = _symbol_bytes()
     return [bytes(back[c] for c in piece).decode() for piece, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
@@ -173,19 +155,28 @@ def _symbol_bytes() -> dict[str, int]:
     return {c: b for b, c in enumerate(byte_symbols())}
 
 
-class WordCache(dict):
-    """Word -> value, made on first use; emptied when full, so memory stays bounded."""
+def byte_level_table(path: str, make: Callable[[str], list[int]]) -> TextTable:
+    """Ids of whole texts for a byte-level vocabulary; ``make`` encodes a word."""
+    v = vocabulary(path)
+    return TextTable(make, True, {s: [i] for s, i in v.special.items()}, v.cut)
 
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
 
-    def __missing__(self, word: str):
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = self.make(word)
-        return value
+@lru_cache(maxsize=4)
+def rank_array_ids(path: str) -> TextTable:
+    """Ids by the rank-array loop, kept by the Python worker from task to task."""
+    v = vocabulary(path)
+    return byte_level_table(path, lambda w: by_rank_array(v, w.encode()))
 
 
-def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+@lru_cache(maxsize=4)
+def library_ids(path: str) -> TextTable:
+    """Ids by the tokenizers library: its model encodes each word of the published pre-split."""
+    model, symbol = library(path).model, dict(enumerate(byte_symbols()))
+    return byte_level_table(path, lambda w: [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(symbol))])
+
+
+@lru_cache(maxsize=4)
+def heap_counts(path: str) -> TextTable:
+    """Numbers of ids by the heap, a number a word, for a vocabulary with word ends."""
+    v = vocabulary(path)
+    return TextTable(lambda w: [count_by_heap(v, w.encode())], False, {s: [1] for s in v.special}, v.cut, lambda t: normalised(t, path))

@@ -13,25 +13,17 @@ from pyspark.sql import DataFrame
 from . import bpe
 from .common import runs, table_of
 
-#: Words kept per Python worker; about 200 bytes each.
-CACHE_WORDS = 300_000
-
 
 class Codec:
     """Encode whole texts to packed little-endian 32-bit ids, and back."""
 
     def __init__(self, path: str):
-        self.v = v = bpe.vocabulary(path)
-        self.words = bpe.WordCache(lambda w: bpe.pack(bpe.by_rank_array(v, w.encode())), CACHE_WORDS)
-        self.marks = {s: bpe.pack([i]) for s, i in v.special.items()}
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        get = self.words.__getitem__
-        if "<|" not in text:
-            return b"".join(map(get, bpe.split_byte_level(text)))
-        return b"".join(self.marks[s] if s in self.marks else b"".join(map(get, bpe.split_byte_level(s))) for s in self.v.cut(text))
+        self.v, self.table = bpe.vocabulary(path), bpe.rank_array_ids(path)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        ids, cuts = self.table.values(texts)
+        whole, cuts = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
+        return [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def decode(self, packed: bytes) -> str:
         piece = self.v.piece.__getitem__
@@ -59,7 +51,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
         for batch in batches:
             texts = batch.column(1)
             for a, b in runs([x or 0 for x in pa.compute.binary_length(texts).to_pylist()]):
-                ids = [codec.encode(t) for t in texts.slice(a, b - a).to_pylist()]
+                ids = codec.encode(texts.slice(a, b - a).to_pylist())
                 back = [codec.decode(p) for p in ids]
                 if digests_only or packed:
                     digests = [[hashlib.sha256(p).hexdigest() for p in ids], [hashlib.sha256(t.encode()).hexdigest() for t in back]]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
@@ -14,34 +15,25 @@ from .common import runs, table_of
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
-#: Words kept per Python worker; about 150 bytes each.
-CACHE_WORDS = 400_000
-
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Count the tokens of every whole text.
 
     A word's count is its initial symbols minus the merges that pop from the heap; a
-    text's count is the sum over its words, and special strings in it count one each.
+    text's count is the sum over its words, and special strings in it count one each. Words
+    met before are looked up (``word_table``), in memory that is bounded by bytes.
     Null and empty texts have 0 tokens and 0 bytes; a null key stays null; repeated rows
     each give a row; other columns are ignored, whatever their names. No shuffle.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = bpe.vocabulary(path)
-        cache = bpe.WordCache(lambda w: bpe.count_by_heap(v, w.encode()), CACHE_WORDS)
-        get, special = cache.__getitem__, v.special
-
-        def tokens(t: str) -> int:
-            if "<|" not in t:
-                return sum(map(get, bpe.split_word_level(t, path)))
-            return sum(1 if s in special else sum(map(get, bpe.split_word_level(s, path))) for s in v.cut(t))
-
+        table = bpe.heap_counts(path)
         for batch in batches:
             texts = batch.column(1)
             sizes = [x or 0 for x in pa.compute.binary_length(texts).to_pylist()]
             for a, b in runs(sizes):
-                n = [tokens(t) if t else 0 for t in texts.slice(a, b - a).to_pylist()]
-                yield table_of({"doc_id": batch.column(0).slice(a, b - a), "n_bytes": sizes[a:b], "n_tokens": n, "over_limit": [x > limit for x in n]}, _OUT)
+                each, cuts = table.values(texts.slice(a, b - a).to_pylist())
+                n = np.diff(np.concatenate(([0], np.cumsum(each, dtype=np.int64)))[cuts])
+                yield table_of({"doc_id": batch.column(0).slice(a, b - a), "n_bytes": sizes[a:b], "n_tokens": n, "over_limit": n > limit}, _OUT)
 
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(count, SCHEMA)

@@ -14,11 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
-from operator import attrgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,38 +31,23 @@ from .common import block_of, cut_points, new_path, runs, seeds, shuffle_partiti
 
 #: Ids hashed together, least and most ids of a chunk, and the mask that cuts one in 512.
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, np.uint64(511 << 40)
-#: Words kept per Python worker; about 200 bytes each.
-CACHE_WORDS = 300_000
 #: Bytes of text encoded at once.
 PASS = 1 << 20
 
 
 # --------------------------------------------------------------------------- encoding
 class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library.
-
-    The library splits a text at special strings and then into words that it encodes each
-    on its own, so its ids of distinct words, asked for in batches and kept, are its ids of
-    the text; each call covers the words of many texts that are not known yet.
-    """
+    """Packed ids of whole texts by the tokenizers library, word by word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library, self.v = bpe.library(path), bpe.vocabulary(path)
-        self.width = 2 if self.v.size <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.width = 2 if bpe.vocabulary(path).size <= 1 << 16 else 4
+        self.table = bpe.library_ids(path)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        special = self.v.special
-        split = [[w for s in self.v.cut(t) for w in ([s] if s in special else bpe.split_byte_level(s))] if "<|" in t else bpe.split_byte_level(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
-        code = "H" if self.width == 2 else "I"
-        for w, ids in zip(new, map(attrgetter("ids"), self.library.encode_batch(new, add_special_tokens=False)), strict=True):
-            self.known[w] = struct.pack(f"<{len(ids)}{code}", *ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        ids, cuts = self.table.values(texts)
+        whole, cuts = ids.astype(f"<u{self.width}").tobytes(), (self.width * cuts).tolist()
+        return [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 # --------------------------------------------------------------------------- chunking

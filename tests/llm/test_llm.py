@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillspark.llm import bpe, bpe_codec, fingerprints, licence_texts, licences, mixing, near_dedup, quality_crf, queries, rules, sharding, token_counts, token_store
+from quillspark.llm import bpe, bpe_codec, fingerprints, licence_texts, licences, mixing, near_dedup, quality_crf, queries, rules, sharding, token_counts, token_store, word_table
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -54,19 +54,56 @@ def pairs(df):
 
 
 # ------------------------------------------------------------------ 7, 8: tokens
-@pytest.mark.parametrize("name", ["byte", "word"])
-def test_merge_loops_agree_with_the_library(name):
-    path = BYTE if name == "byte" else WORD
-    t, v, rng = Tokenizer.from_file(path), bpe.vocabulary(path), random.Random(3)
-    pools = ["abc the of ing's 12 \n\t .,!_-'", "éàüßñœ²½٣Ⅷ\x1c\x85\xa0 Σςİǅﬁ中文가á", "🎉👍🏽𐐀", "xyz"]
+POOLS = ["abc the of ing's 12 \n\t .,!_-'", "éàüßñœ²½٣Ⅷ\x1c\x85\xa0 Σςİǅﬁ中文가á", "🎉👍🏽𐐀", "xyz", "'s't're've'm'll'd''", "'  \t\n \r\n"]
+
+
+def random_text(rng, most=30):
+    return "".join(rng.choice(rng.choice(POOLS)) if rng.random() < 0.95 else rng.choice(["<|endoftext|>", "<|", "'re", " 's", "'ll"]) for _ in range(rng.randint(0, most)))
+
+
+@pytest.mark.parametrize("most", [word_table.TABLE_BYTES, 1500])
+def test_merge_loops_agree_with_the_library(most, monkeypatch):
+    monkeypatch.setattr(word_table, "PASS_CHARS", 60)  # many passes, and texts cut into pieces
+    byte, word, rng = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD), random.Random(3)
+    tables = [f.__wrapped__(BYTE) for f in (bpe.rank_array_ids, bpe.library_ids)]
+    counts = bpe.heap_counts.__wrapped__(WORD)
+    for t in (*tables, counts):
+        t.table.most = most
+    for _ in range(200):
+        texts = [random_text(rng, 30 if rng.random() < 0.9 else 700) for _ in range(8)] + ["", None, " plain words" * rng.randint(0, 40)]
+        for t in tables:
+            ids, cuts = t.values(texts)
+            for x, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True):
+                assert ids[a:b].tolist() == byte.encode(x or "", add_special_tokens=False).ids, x
+        each, cuts = counts.values(texts)
+        assert [int(each[a:b].sum()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [len(word.encode(x or "", add_special_tokens=False).ids) for x in texts]
+
+
+def test_both_loops_agree_on_words():
+    v, rng = bpe.vocabulary(BYTE), random.Random(4)
     for _ in range(1500):
-        s = "".join(rng.choice(rng.choice(pools)) if rng.random() < 0.95 else "<|endoftext|>" for _ in range(rng.randint(0, 30)))
-        got = []
-        for part in v.cut(s):
-            words = [] if part in v.special else bpe.split_byte_level(part) if name == "byte" else bpe.split_word_level(part, path)
-            got += [v.special[part]] if part in v.special else [i for w in words for i in bpe.by_rank_array(v, w.encode())]
-            assert all(bpe.by_rank_array(v, w.encode()) == bpe.by_heap(v, w.encode()) for w in words)
-        assert got == t.encode(s, add_special_tokens=False).ids, s
+        w = "".join(rng.choices("abcdeinrst", k=rng.randint(1, 60))).encode()
+        assert bpe.by_rank_array(v, w) == bpe.by_heap(v, w) and bpe.count_by_heap(v, w) == len(bpe.by_heap(v, w))
+
+
+@pytest.mark.parametrize("most", [1 << 20, 2000])
+def test_word_table_stands_hash_collisions(most, monkeypatch):
+    plain = word_table.WordTable.hashes
+    monkeypatch.setattr(word_table.WordTable, "hashes", staticmethod(lambda p, a, b: plain(p, a, b) & np.uint64(7 << 61)))
+    table = word_table.TextTable(lambda w: [len(w), *map(ord, w)], True, {}, lambda t: [t], most=most)
+    rng = random.Random(6)
+    for _ in range(30):
+        texts = [" ".join(rng.choices(["a", "bb", "ab", "ba", "ccc", "cac", "x1"], k=20)) for _ in range(5)]
+        got, cuts = table.values(texts)
+        for t, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True):
+            words = re.findall(r" ?[a-z]+| ?[0-9]+", t)
+            assert got[a:b].tolist() == [v for w in words for v in (len(w), *map(ord, w))]
+
+
+def test_special_strings_are_the_vocabulary_s_own():
+    table = word_table.TextTable(lambda w: [0], True, {"[[x]]": [7], "#end": [9]}, re.compile(r"(\[\[x\]\]|#end)").split)
+    values, cuts = table.values(["a[[x]]b", "#end#end", "no"])
+    assert values.tolist() == [0, 7, 0, 9, 9, 0] and cuts.tolist() == [0, 3, 5, 6]
 
 
 def test_token_counts(docs, odd, none):
