@@ -4,10 +4,15 @@ A store is a folder of Parquet tables:
 
 * ``chunks``   address (SHA-256 of the packed ids), width, data (these ids, Zstandard): every
   distinct chunk once
-* ``recipes``  block, doc_id, start, n_tokens, row, root, chunks (addresses) in ascending
-  doc_id order: block after block, sorted within
-* ``manifest`` block, docs, n_tokens, root: Merkle root over the recipe roots of a block
-* ``summary``  one row: root over the block roots, and the totals
+* ``recipes``  block, doc_id, start, n_tokens, row, root, chunks (length and address) in
+  ascending doc_id order: block after block, sorted within; ``root`` is the Merkle root over
+  its chunks' lengths and addresses
+* ``manifest`` block, docs, n_tokens, root: Merkle root over doc_id, start, n_tokens and root
+  of a block's recipes
+* ``summary``  one row: root over the blocks' roots and totals, and the totals
+
+A document is bound to its ids by that chain: chunk data to its address, addresses and
+lengths to the recipe's root, the root with key and place to the block's, that to the store's.
 """
 
 from __future__ import annotations
@@ -35,21 +40,6 @@ WINDOW, LEAST, MOST, MASK = 16, 128, 4096, np.uint64(511 << 40)
 PASS = 1 << 20
 
 
-# --------------------------------------------------------------------------- encoding
-class LibraryEncoder:
-    """Packed ids of whole texts by the tokenizers library, word by word."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.width = 2 if bpe.vocabulary(path).size <= 1 << 16 else 4
-        self.table = bpe.library_ids(path)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        ids, cuts = self.table.values(texts)
-        whole, cuts = ids.astype(f"<u{self.width}").tobytes(), (self.width * cuts).tolist()
-        return [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
 # --------------------------------------------------------------------------- chunking
 _GEAR = seeds(1 << 16, 11)
 
@@ -105,6 +95,19 @@ def merkle(leaves: Iterable[bytes]) -> bytes:
     return root
 
 
+def chunk_leaf(n: int, address: bytes) -> bytes:
+    return n.to_bytes(8, "little") + address
+
+
+def recipe_leaf(doc_id: int | None, start: int, n_tokens: int, root: bytes) -> bytes:
+    key = b"null" if doc_id is None else doc_id.to_bytes(8, "little", signed=True)
+    return start.to_bytes(8, "little") + n_tokens.to_bytes(8, "little") + root + key
+
+
+def block_leaf(docs: int, n_tokens: int, root: bytes) -> bytes:
+    return docs.to_bytes(8, "little") + n_tokens.to_bytes(8, "little") + root
+
+
 # --------------------------------------------------------------------------- checksums
 _POLY = 0xEDB88320
 
@@ -144,46 +147,45 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "store")
-    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n", pa.int32()), ("after", pa.int64()), ("total", pa.int64()), ("address", pa.binary()), ("root", pa.binary()), ("width", pa.int32()), ("data", pa.binary())])
-    ddl = "row long, doc_id long, seq int, n int, after long, total long, address binary, root binary, width int, data binary"
+    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n", pa.int32()), ("total", pa.int64()), ("address", pa.binary()), ("root", pa.binary()), ("width", pa.int32()), ("data", pa.binary())])
+    ddl = "row long, doc_id long, seq int, n int, total long, address binary, root binary, width int, data binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = LibraryEncoder(tokenizer)
-        kind, end = f"<u{coder.width}", np.array([end_id], dtype=f"<u{coder.width}").tobytes()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        table, width = bpe.library_ids(tokenizer), 2 if bpe.vocabulary(tokenizer).size <= 1 << 16 else 4
         squeeze = zstandard.ZstdCompressor(level=1).compress
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in runs([len(t) for t in texts], PASS):
-                packed = [p + end for p in coder.batch(texts[a:b])]
-                sizes = np.array([len(p) // coder.width for p in packed], dtype=np.int64)
-                offsets = np.concatenate(([0], np.cumsum(sizes)))
-                whole = b"".join(packed)
-                ends = chunk_ends(np.frombuffer(whole, kind), offsets)
+            texts = batch.column(1).to_pylist()
+            for a, b in runs([len(t or "") for t in texts], PASS):
+                ids, cuts = table.values(texts[a:b])
+                ids = np.insert(ids, cuts[1:], end_id).astype(f"<u{width}")
+                offsets = cuts + np.arange(len(cuts))
+                whole, ends = ids.tobytes(), chunk_ends(ids, offsets)
                 each = np.array([len(e) for e in ends])
                 doc = np.repeat(np.arange(b - a), each)
                 stop = np.fromiter(chain.from_iterable(ends), dtype=np.int64, count=int(each.sum()))
-                begin = np.concatenate(([0], stop[:-1]))
-                cut = np.concatenate(([0], stop)) * coder.width
-                data = [whole[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                cut = np.concatenate(([0], stop))
+                n = np.diff(cut)
+                at = (cut * width).tolist()
+                data = [whole[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
                 names = [hashlib.sha256(x).digest() for x in data]
-                data = [squeeze(x) for x in data]
-                first = (np.cumsum(each) - each).tolist()
+                leaves = list(map(chunk_leaf, n.tolist(), names))
+                first = np.cumsum(each) - each
                 roots: list[bytes | None] = [None] * len(names)
-                for d, at in enumerate(first):
-                    roots[at] = merkle(names[at : at + int(each[d])])
+                for at, size in zip(first.tolist(), each.tolist(), strict=True):
+                    roots[at] = merkle(leaves[at : at + size])
                 yield table_of(
                     {
                         "row": row + doc,
                         "doc_id": batch.column(0).slice(a, b - a).take(pa.array(doc)),
                         "seq": np.arange(len(doc)) - np.repeat(first, each),
-                        "n": stop - begin,
-                        "after": offsets[1:][doc] - stop,
-                        "total": sizes[doc],
+                        "n": n,
+                        "total": np.diff(offsets)[doc],
                         "address": names,
                         "root": roots,
-                        "width": np.full(len(doc), coder.width),
-                        "data": data,
+                        "width": np.full(len(doc), width),
+                        "data": [squeeze(x) for x in data],
                     },
                     out,
                 )
@@ -195,24 +197,24 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
 
     cuts = cut_points(parts.where("seq = 0"), "doc_id", blocks or shuffle_partitions(spark))
     recipes = parts.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("total").alias("n_tokens"), F.max("root").alias("root"), F.sort_array(F.collect_list(F.struct("seq", "n", "after", "address"))).alias("chunks")
+        F.first("doc_id").alias("doc_id"), F.first("total").alias("n_tokens"), F.max("root").alias("root"), F.sort_array(F.collect_list(F.struct("seq", "n", "address"))).alias("chunks")
     )
     recipes = staged(recipes.withColumn("block", block_of(F.col("doc_id"), cuts)), "recipes")
     sums = recipes.groupBy("block").agg(F.sum("n_tokens").alias("n"))
     shift = sums.select(F.col("block").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "row")
     placed = recipes.join(F.broadcast(shift), F.col("block") == F.col("of")).withColumn("start", F.col("shift") + F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.select("block", "doc_id", "start", "n_tokens", "row", "root", F.transform("chunks", lambda c: F.struct(c["n"].alias("n"), c["after"].alias("after"), c["address"].alias("address"))).alias("chunks"))
+    placed = placed.select("block", "doc_id", "start", "n_tokens", "row", "root", F.transform("chunks", lambda c: F.struct(c["n"].alias("n"), c["address"].alias("address"))).alias("chunks"))
     placed.repartitionById(len(cuts) + 1, F.col("block")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").write.parquet(f"{path}/recipes")
     manifest = block_roots(spark.read.parquet(f"{path}/recipes"), len(cuts) + 1)
     manifest.write.parquet(f"{path}/manifest")
     tops = spark.read.parquet(f"{path}/manifest").orderBy("block").collect()  # a row for each block
-    spark.createDataFrame([(merkle([bytes(r["root"]) for r in tops]), len(tops), sum(r["docs"] for r in tops), sum(r["n_tokens"] for r in tops), end_id)], "root binary, blocks long, docs long, n_tokens long, end_id long").coalesce(1).write.parquet(f"{path}/summary")
+    spark.createDataFrame([(store_root(tops), len(tops), sum(r["docs"] for r in tops), sum(r["n_tokens"] for r in tops), end_id)], "root binary, blocks long, docs long, n_tokens long, end_id long").coalesce(1).write.parquet(f"{path}/summary")
     return path
 
 
 def block_roots(recipes: DataFrame, blocks: int) -> DataFrame:
-    """Merkle root of each block's recipe roots, in doc_id order, streamed."""
+    """Merkle root of each block's recipes, in doc_id order, streamed."""
     out = pa.schema([("block", pa.int32()), ("docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,15 +222,20 @@ def block_roots(recipes: DataFrame, blocks: int) -> DataFrame:
 
         def leaves() -> Iterator[bytes]:
             for batch in batches:
-                for b, n, root in zip(*(batch.column(c).to_pylist() for c in ("block", "n_tokens", "root")), strict=True):
+                for b, key, start, n, root in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "start", "n_tokens", "root")), strict=True):
                     seen.update(block=b, docs=seen["docs"] + 1, n=seen["n"] + n)
-                    yield root + n.to_bytes(8, "little")
+                    yield recipe_leaf(key, start, n, root)
 
         root = merkle(leaves())
         if seen["docs"]:
             yield table_of({"block": [seen["block"]], "docs": [seen["docs"]], "n_tokens": [seen["n"]], "root": [root]}, out)
 
-    return recipes.select("block", "doc_id", "row", "n_tokens", "root").repartitionById(blocks, F.col("block")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").mapInArrow(run, "block int, docs long, n_tokens long, root binary")
+    return recipes.select("block", "doc_id", "row", "start", "n_tokens", "root").repartitionById(blocks, F.col("block")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").mapInArrow(run, "block int, docs long, n_tokens long, root binary")
+
+
+def store_root(manifest: list) -> bytes:
+    """Merkle root over a store's blocks, in order: a row for each block."""
+    return merkle(block_leaf(r["docs"], r["n_tokens"], bytes(r["root"])) for r in manifest)
 
 
 # --------------------------------------------------------------------------- read
@@ -247,34 +254,64 @@ def chunk_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/chunks").mapInArrow(run, "address binary, ids long, crc long, sound boolean")
 
 
+def chunk_uses(recipes: DataFrame) -> DataFrame:
+    """A row for each chunk of each recipe, in place: what it is, how many ids follow it, and
+    whether the recipe's root is that of its chunks and their lengths sum to n_tokens.
+
+    A recipe without chunks gives one row with a null address, so that it is not overlooked.
+    """
+    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("i", pa.int32()), ("n", pa.int64()), ("after", pa.int64()), ("address", pa.binary()), ("rooted", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = batch.column("chunks")
+            each = pa.compute.list_value_length(chunks).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = chunks.flatten()
+            n, address = flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("address").to_pylist()
+            ends = np.concatenate(([0], np.cumsum(n)))
+            last = np.cumsum(each)
+            total = batch.column("n_tokens").to_numpy(zero_copy_only=False)
+            leaves = list(map(chunk_leaf, n.tolist(), address))
+            fits = [merkle(leaves[y - k : y]) == r for y, k, r in zip(last.tolist(), each.tolist(), batch.column("root").to_pylist(), strict=True)]
+            fits = np.array(fits, dtype=bool) & (ends[last] - ends[last - each] == total) & (each > 0)
+            doc = np.repeat(np.arange(len(each)), each)
+            of = {c: batch.column(c).take(pa.array(doc)) for c in ("doc_id", "start", "row", "n_tokens")}
+            yield table_of(of | {"i": np.arange(len(doc)) - (last - each)[doc], "n": n, "after": ends[last][doc] - ends[1:], "address": address, "rooted": fits[doc]}, out)
+            if len(bare := np.flatnonzero(each == 0)):
+                nothing = {"i": np.zeros(len(bare)), "n": np.zeros(len(bare)), "after": np.zeros(len(bare)), "address": [None] * len(bare), "rooted": np.zeros(len(bare), dtype=bool)}
+                yield table_of({c: batch.column(c).take(pa.array(bare)) for c in of} | nothing, out)
+
+    return recipes.select("doc_id", "start", "row", "n_tokens", "root", "chunks").mapInArrow(run, "doc_id long, start long, row long, n_tokens long, i int, n long, after long, address binary, rooted boolean")
+
+
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from a store's files: doc_id, start, n_tokens, ids_crc32, verified.
 
     Each stored chunk is read once and gives a checksum and a length; recipes meet these
     small facts by address, and a document's checksum is the exclusive or of its chunks'
-    shifted ones, so no ids are gathered. ``verified``: every chunk has its address and its
-    stated length, and the recipe's chunks have its root.
+    shifted ones, so no ids are gathered. ``verified``: every chunk is there, has its address
+    and its stated length, the recipe's root is computed again from its chunks, and their
+    lengths make n_tokens. Whether recipes are where the manifests say is for ``verify``.
     """
-    recipes = spark.read.parquet(f"{path}/recipes")
-    used = recipes.select("doc_id", "start", "row", "n_tokens", F.posexplode("chunks").alias("i", "c")).select("doc_id", "start", "row", "n_tokens", "c.n", "c.after", "c.address")
+    used = chunk_uses(spark.read.parquet(f"{path}/recipes")).drop("i")
     met = used.join(chunk_facts(spark, path).withColumnRenamed("address", "_a"), F.col("address") == F.col("_a"), "left").drop("_a", "address")
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.int64()), ("part", pa.int64()), ("sound", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc, after = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("crc", "after"))
-            sound = pa.compute.and_(batch.column("sound").fill_null(False), pa.compute.equal(batch.column("ids").fill_null(-1), batch.column("n").cast(pa.int64())))
-            yield table_of({c: batch.column(c) for c in ("doc_id", "start", "row", "n_tokens", "ids")} | {"part": shifted_crc(crc, after * 4).astype(np.int64), "sound": sound}, out)
+            sound = pa.compute.and_(batch.column("sound").fill_null(False), pa.compute.equal(batch.column("ids").fill_null(-1), batch.column("n")))
+            yield table_of({c: batch.column(c) for c in ("doc_id", "start", "row", "n_tokens", "ids")} | {"part": shifted_crc(crc, after * 4).astype(np.int64), "sound": pa.compute.and_(sound, batch.column("rooted"))}, out)
 
     parts = met.mapInArrow(run, "doc_id long, start long, row long, n_tokens long, ids long, part long, sound boolean")
     whole = parts.groupBy("row", "start", "doc_id", "n_tokens").agg(F.sum("ids").alias("ids"), F.bit_xor("part").alias("ids_crc32"), F.min("sound").alias("sound"))
-    return whole.select("doc_id", "start", F.col("ids").alias("n_tokens"), "ids_crc32", (F.col("sound") & (F.col("ids") == F.col("n_tokens"))).alias("verified"))
+    return whole.select("doc_id", "start", F.coalesce("ids", F.lit(0).cast("long")).alias("n_tokens"), "ids_crc32", (F.col("sound") & F.coalesce(F.col("ids") == F.col("n_tokens"), F.lit(False))).alias("verified"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Every document's ids (array of int, with the end id), rebuilt from its recipe."""
+    """Every document's ids (array of int, with the end id), rebuilt from its recipe; a missing chunk is an error."""
     used = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "row", F.posexplode("chunks").alias("i", "c"))
-    met = used.join(spark.read.parquet(f"{path}/chunks"), F.col("c.address") == F.col("address")).select("doc_id", "start", "row", "i", "width", "data")
+    met = used.join(spark.read.parquet(f"{path}/chunks"), F.col("c.address") == F.col("address"), "left").select("doc_id", "start", "row", "i", "width", F.coalesce("data", F.raise_error(F.lit("a chunk of the store is missing")).cast("binary")).alias("data"))
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +325,18 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, path: str) -> bool:
-    """Whether the summary, the manifests, the recipes and the chunks of a store agree."""
+    """Whether the summary, the manifests, the recipes and the chunks of a store agree.
+
+    Block roots are computed again from the recipes, their starts from the lengths before
+    them, recipe roots from chunks, and addresses from data; the store's root, from the
+    blocks', must be the summary's. Blocks are as many as shuffle partitions were at writing.
+    """
     summary = spark.read.parquet(f"{path}/summary").first()
     recipes = spark.read.parquet(f"{path}/recipes")
     told = spark.read.parquet(f"{path}/manifest").orderBy("block").collect()
-    again = {r["block"]: r for r in block_roots(recipes, 1 + max([r["block"] for r in told], default=0)).collect()}
-    same = len(again) == len(told) and all(again[r["block"]] == r for r in told) and merkle([bytes(r["root"]) for r in told]) == bytes(summary["root"])
+    again = block_roots(recipes, 1 + max([r["block"] for r in told], default=0)).orderBy("block").collect()
+    at = np.concatenate(([0], np.cumsum([r["n_tokens"] for r in told]))).tolist()
+    firsts = {r["block"]: r for r in recipes.groupBy("block").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("n_tokens")).alias("high"), F.sum("n_tokens").alias("n")).collect()}
+    same = again == told and store_root(told) == bytes(summary["root"]) and [summary["blocks"], summary["docs"], summary["n_tokens"]] == [len(told), sum(r["docs"] for r in told), at[-1]]
+    same = same and all((f := firsts.get(r["block"])) and (f["low"], f["high"], f["n"]) == (at[i], at[i + 1], r["n_tokens"]) for i, r in enumerate(told))
     return same and not chunk_facts(spark, path).where(~F.col("sound")).head(1) and not read_digests(spark, path).where(~F.col("verified")).head(1)

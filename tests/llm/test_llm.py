@@ -150,12 +150,58 @@ def test_token_store(spark, docs, odd, none):
     assert token_store.read_digests(spark, path).count() == 0
 
 
-def test_store_notices_damage(spark, docs):
-    path = token_store.write_store(docs, BYTE)
-    bad = spark.read.parquet(f"{path}/chunks").withColumn("address", F.sha2("address", 256).cast("binary"))
-    rows = bad.collect()
-    spark.createDataFrame(rows, bad.schema).write.mode("overwrite").parquet(f"{path}/chunks")
+def rewritten(spark, path, name, change):
+    df = spark.read.parquet(f"{path}/{name}")
+    rows = change(df.collect())
+    spark.createDataFrame(rows, df.schema).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def with_fields(row, **new):
+    return tuple(new.get(k, v) for k, v in row.asDict().items())
+
+
+def swapped(*fields):
+    """The first two recipes with these fields exchanged."""
+
+    def change(rows):
+        a, b, *others = rows
+        return [with_fields(a, **{f: b[f] for f in fields}), with_fields(b, **{f: a[f] for f in fields}), *others]
+
+    return change
+
+
+DAMAGE = {
+    "addresses changed": ("chunks", lambda rows: [with_fields(r, address=hashlib.sha256(bytes(r.address)).digest()) for r in rows]),
+    "chunk missing": ("chunks", lambda rows: rows[1:]),
+    "chunk data changed": ("chunks", lambda rows: [with_fields(rows[0], data=rows[1].data), *rows[1:]]),
+    "chunks of two documents swapped": ("recipes", swapped("chunks")),
+    "whole recipes swapped": ("recipes", swapped("chunks", "root", "n_tokens")),
+    "keys swapped": ("recipes", swapped("doc_id")),
+    "recipe missing": ("recipes", lambda rows: rows[1:]),
+    "recipe twice": ("recipes", lambda rows: [rows[0], *rows]),
+    "chunks of a recipe reversed": ("recipes", lambda rows: [with_fields(r, chunks=r.chunks[::-1]) for r in rows]),
+    "recipe cut short": ("recipes", lambda rows: [with_fields(r, chunks=r.chunks[:-1]) for r in rows]),
+    "starts moved": ("recipes", lambda rows: [with_fields(r, start=r.start + 1) for r in rows]),
+    "block root changed": ("manifest", lambda rows: [with_fields(r, root=hashlib.sha256(bytes(r.root)).digest()) for r in rows]),
+    "block total changed": ("manifest", lambda rows: [with_fields(r, n_tokens=r.n_tokens + 1) for r in rows]),
+    "summary changed": ("summary", lambda rows: [with_fields(r, docs=r.docs + 1) for r in rows]),
+}
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    rng = random.Random(8)
+    return spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "in"]) + str(rng.randrange(99)) for _ in range(900))) for i in range(6)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("what", DAMAGE)
+def test_store_notices_damage(spark, long_docs, what):
+    path = token_store.write_store(long_docs, BYTE, blocks=2)
+    name, change = DAMAGE[what]
+    rewritten(spark, path, name, lambda rows: change(sorted(rows, key=lambda r: r.doc_id) if name == "recipes" else rows))
     assert not token_store.verify(spark, path)
+    if what.startswith(("chunks of", "recipe cut", "addresses", "chunk ")):
+        assert not all(r.verified for r in token_store.read_digests(spark, path).collect())
 
 
 def test_chunks_follow_content():
