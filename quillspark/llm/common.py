@@ -22,11 +22,14 @@ _U = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder is made and set.
+    It is ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process
+    (tests, a laptop) a temporary folder is made and set. On a cluster an unset folder is an
+    error, as every executor would write to its own disk.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = getattr(spark, "_quill_shared", None)
         if not where:
             where = "file://" + tempfile.mkdtemp(prefix="quill-")
@@ -44,6 +47,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     path = new_path(df.sparkSession, name)

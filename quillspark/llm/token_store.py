@@ -2,8 +2,8 @@
 
 A store is a folder of Parquet tables:
 
-* ``chunks``   address (SHA-256 of the packed ids), width, data (these ids, Zstandard): every
-  distinct chunk once
+* ``encoded/kind=chunk``  key (the address: SHA-256 of the packed ids), width, data (these
+  ids, Zstandard): every distinct chunk once
 * ``recipes``  block, doc_id, start, n_tokens, row, root, chunks (length and address) in
   ascending doc_id order: block after block, sorted within; ``root`` is the Merkle root over
   its chunks' lengths and addresses
@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import block_of, cut_points, new_path, runs, seeds, shuffle_partitions, staged, table_of
+from .common import block_of, cut_points, new_path, remove, runs, seeds, shuffle_partitions, table_of
 
 #: Ids hashed together, least and most ids of a chunk, and the mask that cuts one in 512.
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, np.uint64(511 << 40)
-#: Bytes of text encoded at once.
-PASS = 1 << 20
+#: Characters of text encoded at once, the Zstandard level of chunk data, and the addresses a task remembers.
+PASS, LEVEL, SEEN = 1 << 20, 6, 500_000
 
 
 # --------------------------------------------------------------------------- chunking
@@ -138,23 +138,39 @@ def shifted_crc(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 # --------------------------------------------------------------------------- write
+_ENCODED = "kind string, key binary, width int, data binary, row long, doc_id long, n_tokens long, root binary, chunks array<struct<n: int, address: binary>>"
+
+
+def _encoded(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(_ENCODED).parquet(f"{path}/encoded").where(F.col("kind") == kind)
+
+
+def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Address, width and data of every chunk of a store."""
+    return _encoded(spark, path, "chunk").select(F.col("key").alias("address"), "width", "data")
+
+
 def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, text: str = "text", key: str = "doc_id", blocks: int | None = None) -> str:
     """Encode every whole text, append ``end_id``, and write a store; returns its path.
 
     Null and empty texts are a lone end id; equal doc_ids are ordered by their row number in
     the encoding; null doc_ids come first; an empty table gives a store without chunks.
-    Chunk data is shuffled once, to find equal chunks; recipes carry addresses only.
+    Chunk data is shuffled once, to find equal chunks, after each task has left out those it
+    met before; recipes carry addresses only. If an executor is lost, what it had encoded is
+    encoded again.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "store")
-    out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n", pa.int32()), ("total", pa.int64()), ("address", pa.binary()), ("root", pa.binary()), ("width", pa.int32()), ("data", pa.binary())])
-    ddl = "row long, doc_id long, seq int, n int, total long, address binary, root binary, width int, data binary"
+    out = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("width", pa.int32()), ("data", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunks", pa.list_(pa.struct([("n", pa.int32()), ("address", pa.binary())])))])
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return table_of({f.name: columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in out}, out)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         table, width = bpe.library_ids(tokenizer), 2 if bpe.vocabulary(tokenizer).size <= 1 << 16 else 4
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        row = TaskContext.get().partitionId() << 40
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+        row, seen = TaskContext.get().partitionId() << 40, set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in runs([len(t or "") for t in texts], PASS):
@@ -162,50 +178,37 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
                 ids = np.insert(ids, cuts[1:], end_id).astype(f"<u{width}")
                 offsets = cuts + np.arange(len(cuts))
                 whole, ends = ids.tobytes(), chunk_ends(ids, offsets)
-                each = np.array([len(e) for e in ends])
-                doc = np.repeat(np.arange(b - a), each)
-                stop = np.fromiter(chain.from_iterable(ends), dtype=np.int64, count=int(each.sum()))
-                cut = np.concatenate(([0], stop))
-                n = np.diff(cut)
-                at = (cut * width).tolist()
+                of = np.concatenate(([0], np.cumsum([len(e) for e in ends])))
+                cut = np.concatenate(([0], np.fromiter(chain.from_iterable(ends), dtype=np.int64, count=int(of[-1]))))
+                n, at = np.diff(cut), (cut * width).tolist()
                 data = [whole[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
                 names = [hashlib.sha256(x).digest() for x in data]
-                leaves = list(map(chunk_leaf, n.tolist(), names))
-                first = np.cumsum(each) - each
-                roots: list[bytes | None] = [None] * len(names)
-                for at, size in zip(first.tolist(), each.tolist(), strict=True):
-                    roots[at] = merkle(leaves[at : at + size])
-                yield table_of(
-                    {
-                        "row": row + doc,
-                        "doc_id": batch.column(0).slice(a, b - a).take(pa.array(doc)),
-                        "seq": np.arange(len(doc)) - np.repeat(first, each),
-                        "n": n,
-                        "total": np.diff(offsets)[doc],
-                        "address": names,
-                        "root": roots,
-                        "width": np.full(len(doc), width),
-                        "data": [squeeze(x) for x in data],
-                    },
-                    out,
-                )
+                leaves, upto = list(map(chunk_leaf, n.tolist(), names)), of.tolist()
+                numbers = np.arange(row, row + b - a)
+                yield rows(
+                    b - a, kind=["draft"] * (b - a), key=[x.tobytes() for x in numbers], row=numbers, doc_id=batch.column(0).slice(a, b - a), n_tokens=np.diff(offsets),
+                    root=[merkle(leaves[x:y]) for x, y in zip(upto[:-1], upto[1:], strict=True)],
+                    chunks=pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(names, pa.binary())], ["n", "address"])),
+                )
+                new = [i for i, x in enumerate(names) if x not in seen and not seen.add(x)]
+                yield rows(len(new), kind=["chunk"] * len(new), key=[names[i] for i in new], width=np.full(len(new), width), data=[squeeze(data[i]) for i in new])
                 row += b - a
+                if len(seen) > SEEN:
+                    seen.clear()
 
     named = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    parts = staged(named.mapInArrow(encode, ddl), "parts")
-    parts.select("address", "width", "data").dropDuplicates(["address"]).write.parquet(f"{path}/chunks")
-
-    cuts = cut_points(parts.where("seq = 0"), "doc_id", blocks or shuffle_partitions(spark))
-    recipes = parts.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("total").alias("n_tokens"), F.max("root").alias("root"), F.sort_array(F.collect_list(F.struct("seq", "n", "address"))).alias("chunks")
-    )
-    recipes = staged(recipes.withColumn("block", block_of(F.col("doc_id"), cuts)), "recipes")
-    sums = recipes.groupBy("block").agg(F.sum("n_tokens").alias("n"))
+    # chunks meet by address, recipes stay one by one: one shuffle, one write, and no other copy of the data
+    named.mapInArrow(encode, _ENCODED).dropDuplicates(["key"]).write.partitionBy("kind").parquet(f"{path}/encoded")
+    drafts = _encoded(spark, path, "draft").select("row", "doc_id", "n_tokens", "root", "chunks")
+    cuts = cut_points(drafts, "doc_id", blocks or shuffle_partitions(spark))
+    drafts = drafts.withColumn("block", block_of(F.col("doc_id"), cuts))
+    sums = drafts.groupBy("block").agg(F.sum("n_tokens").alias("n"))
     shift = sums.select(F.col("block").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "row")
-    placed = recipes.join(F.broadcast(shift), F.col("block") == F.col("of")).withColumn("start", F.col("shift") + F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.select("block", "doc_id", "start", "n_tokens", "row", "root", F.transform("chunks", lambda c: F.struct(c["n"].alias("n"), c["address"].alias("address"))).alias("chunks"))
+    placed = drafts.join(F.broadcast(shift), F.col("block") == F.col("of")).withColumn("start", F.col("shift") + F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.select("block", "doc_id", "start", "n_tokens", "row", "root", "chunks")
     placed.repartitionById(len(cuts) + 1, F.col("block")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").write.parquet(f"{path}/recipes")
+    remove(spark, f"{path}/encoded/kind=draft")
     manifest = block_roots(spark.read.parquet(f"{path}/recipes"), len(cuts) + 1)
     manifest.write.parquet(f"{path}/manifest")
     tops = spark.read.parquet(f"{path}/manifest").orderBy("block").collect()  # a row for each block
@@ -251,7 +254,7 @@ def chunk_facts(spark: SparkSession, path: str) -> DataFrame:
             wide = [np.frombuffer(x, f"<u{w}").astype("<u4").tobytes() for x, w in zip(data, width, strict=True)]
             yield table_of({"address": batch.column("address"), "ids": [len(x) // 4 for x in wide], "crc": [zlib.crc32(x) for x in wide], "sound": [hashlib.sha256(x).digest() == a for x, a in zip(data, address, strict=True)]}, out)
 
-    return spark.read.parquet(f"{path}/chunks").mapInArrow(run, "address binary, ids long, crc long, sound boolean")
+    return stored_chunks(spark, path).mapInArrow(run, "address binary, ids long, crc long, sound boolean")
 
 
 def chunk_uses(recipes: DataFrame) -> DataFrame:
@@ -311,7 +314,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Every document's ids (array of int, with the end id), rebuilt from its recipe; a missing chunk is an error."""
     used = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "row", F.posexplode("chunks").alias("i", "c"))
-    met = used.join(spark.read.parquet(f"{path}/chunks"), F.col("c.address") == F.col("address"), "left").select("doc_id", "start", "row", "i", "width", F.coalesce("data", F.raise_error(F.lit("a chunk of the store is missing")).cast("binary")).alias("data"))
+    met = used.join(stored_chunks(spark, path), F.col("c.address") == F.col("address"), "left").select("doc_id", "start", "row", "i", "width", F.coalesce("data", F.raise_error(F.lit("a chunk of the store is missing")).cast("binary")).alias("data"))
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,7 +144,7 @@ def test_token_store(spark, docs, odd, none):
         rebuilt = {r.start: r.ids for r in token_store.read_ids(spark, path).collect()}
         assert all(zlib.crc32(np.array(rebuilt[r.start], "<u4").tobytes()) == r.ids_crc32 for r in got)
         assert token_store.verify(spark, path)
-        stored = spark.read.parquet(f"{path}/chunks")
+        stored = token_store.stored_chunks(spark, path)
         assert stored.count() == stored.select("address").distinct().count()
     path = token_store.write_store(none, BYTE)
     assert token_store.read_digests(spark, path).count() == 0
@@ -171,9 +171,9 @@ def swapped(*fields):
 
 
 DAMAGE = {
-    "addresses changed": ("chunks", lambda rows: [with_fields(r, address=hashlib.sha256(bytes(r.address)).digest()) for r in rows]),
-    "chunk missing": ("chunks", lambda rows: rows[1:]),
-    "chunk data changed": ("chunks", lambda rows: [with_fields(rows[0], data=rows[1].data), *rows[1:]]),
+    "addresses changed": ("encoded/kind=chunk", lambda rows: [with_fields(r, key=hashlib.sha256(bytes(r.key)).digest()) for r in rows]),
+    "chunk missing": ("encoded/kind=chunk", lambda rows: rows[1:]),
+    "chunk data changed": ("encoded/kind=chunk", lambda rows: [with_fields(rows[0], data=rows[1].data), *rows[1:]]),
     "chunks of two documents swapped": ("recipes", swapped("chunks")),
     "whole recipes swapped": ("recipes", swapped("chunks", "root", "n_tokens")),
     "keys swapped": ("recipes", swapped("doc_id")),
