@@ -59,7 +59,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
-    both = ranking.min_max(ranking.bm25(docs(spark, d), QUERY), "bm25_score", "b").join(vectors(spark, d), F.col("doc_id") == F.col("vec_id"))
+    both = ranking.min_max(ranking.bm25_scores(docs(spark, d), QUERY, keep=["doc_id"]), "bm25_score", "b").join(vectors(spark, d), F.col("doc_id") == F.col("vec_id"))
     one = vectors(spark, d).where("vec_id = 0").select(F.col("embedding").alias("q"))
     out = both.crossJoin(F.broadcast(one)).withColumn("score", F.round(0.55 * F.col("b") + 0.45 * (ranking.cosine(F.col("embedding"), F.col("q")) + 1) / 2, 6))
     return out.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(50)
@@ -136,8 +136,8 @@ QUERIES = {
     "prune_hybrid": lambda s, d: history.prune_history(with_fillers(s, d), "hybrid").select("conv_id", "turn", "role", "tier"),
     "prune_afm_tiers": lambda s, d: history.tiers(talks(s, d), 2, 3).groupBy("conv_id", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first")),
     "prune_budget": lambda s, d: history.within_budget(talks(s, d), 120).select("conv_id", "turn"),
-    "bm25_rank": lambda s, d: ranking.bm25(docs(s, d), QUERY).select("doc_id", F.round("bm25_score", 6).alias("score")),
-    "bm25_topk": lambda s, d: ranking.bm25(docs(s, d), QUERY).select("doc_id", F.round("bm25_score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(25),
+    "bm25_rank": lambda s, d: ranking.bm25_scores(docs(s, d), QUERY, keep=["doc_id"]).select("doc_id", F.round("bm25_score", 6).alias("score")),
+    "bm25_topk": lambda s, d: ranking.bm25_scores(docs(s, d), QUERY, keep=["doc_id"]).select("doc_id", F.round("bm25_score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(25),
     "bm25_line_keep": lambda s, d: ranking.filter_relevant(mixed(s, d), "error disk E42 started").select("doc_id", "content", "lines_kept"),
     "technical_tokens": per_text(mixed, n=lambda: F.size(F.filter(ranking.tokens(F.col("text")), ranking.is_technical)).cast("long")),
     "cosine_topk": cosine_topk,

@@ -9,16 +9,16 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_floor, once
+from ..functions.text import byte_floor, free, once
 
 #: Folders and lock files that are never read, and extensions by kind (fixed values).
-SKIP_DIRS = ["target", "node_modules", ".git", "dist", "build", "vendor"]
+SKIP_DIRS = [".git", "node_modules", "target", "dist", "build", ".next"]
 BARE_NAMES = ["dockerfile", "makefile", "gemfile", "procfile", "cmakelists.txt"]
 IGNORE_FILES = [".gitignore", ".ignore"]
-SKIP_FILES = ["cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "composer.lock"]
+SKIP_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "composer.lock", "Gemfile.lock"]
 DOC_EXT = "md txt rst adoc".split()
-CODE_EXT = "rs py js ts tsx jsx go java kt c h cc cpp hpp cs rb php swift scala sh sql lua zig ex exs hs ml r jl".split()
-OTHER_EXT = "json toml yaml yml xml html css csv ini cfg conf env lock proto graphql".split()
+CODE_EXT = "rs ts tsx js jsx mjs cjs py go java kt c h cpp hpp cc cs rb php sql svelte vue swift scala dart ex exs zig".split()
+READ_EXT = "rs ts tsx js jsx mjs cjs py md toml json yaml yml go java kt c h cpp hpp cc cs rb php sql sh bash zsh svelte vue css scss html txt xml gradle cmake swift m mm r lua pl pm ex exs erl hs scala dart proto graphql tf hcl nix zig gd wgsl".split()
 
 #: Window size, windows of a file, bytes of a file that are looked at, and what parts windows.
 WINDOW, MOST_WINDOWS, READ_BYTES = 80 * 1024, 3, 2 << 20
@@ -87,22 +87,21 @@ def query_windows(df: DataFrame, query: str, budget: int, big: Column, text: str
     positive score stay (evenly spaced ones if none has), within ``budget`` bytes. Windows
     are cut at characters. All in the row, so a text never leaves its task.
     """
-    from ..operators.ranking import line_facts, line_scores, query_terms, tokens
+    from ..operators.ranking import query_terms, with_line_scores
 
     terms, size = query_terms(query), min(WINDOW, max(budget, 1024))
     step = max(size * 3 // 4, 1024)
     t = F.coalesce(F.col(text), F.lit(""))
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < F.length(t)))
-    out = once(df, "_w", F.when(big, F.transform(starts, lambda s: F.substring(t, s + 1, F.lit(size)))).otherwise(F.array().cast("array<string>")))
-    out = once(out, "_t", F.transform("_w", tokens))
-    out = once(out, "_f", line_facts(F.col("_w"), F.col("_t"), terms) if terms else F.array().cast("array<double>"))
-    out = once(out, "_s", line_scores(F.col("_w"), F.col("_t"), F.col("_f"), terms))
-    n = F.size("_w")
+    parts, scores, chosen = free(df, "windows", "scores", "chosen")
+    out = once(df.withColumn(chosen, big), parts, F.when(F.col(chosen), F.transform(starts, lambda s: F.substring(t, s + 1, F.lit(size)))).otherwise(F.array().cast("array<string>")))
+    out = with_line_scores(out, parts, terms, scores)
+    n = F.size(parts)
     every = F.greatest(F.floor(n / F.greatest(F.least(n, F.lit(MOST_WINDOWS)), F.lit(1))).cast("int"), F.lit(1))
-    best = F.slice(F.array_sort(F.filter(F.transform("_s", lambda s, i: F.struct((-s).alias("o"), i.alias("i"))), lambda x: x["o"] < 0)), 1, MOST_WINDOWS)
+    best = F.slice(F.array_sort(F.filter(F.transform(scores, lambda s, i: F.struct((-s).alias("o"), i.alias("i"))), lambda x: x["o"] < 0)), 1, MOST_WINDOWS)
     spaced = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i % every == 0) & (i < every * MOST_WINDOWS))
-    picked = F.when(F.exists("_s", lambda s: s > 0), F.array_sort(F.transform(best, lambda x: x["i"]))).otherwise(spaced)
-    out = once(out, "_w", F.transform(picked, lambda i: F.get("_w", i)))
+    picked = F.when(F.exists(scores, lambda s: s > 0), F.array_sort(F.transform(best, lambda x: x["i"]))).otherwise(spaced)
+    out = once(out, parts, F.transform(picked, lambda i: F.get(parts, i)))
 
     def add(acc: Column, w: Column) -> Column:
         left = F.lit(budget) - acc["used"]
@@ -111,8 +110,8 @@ def query_windows(df: DataFrame, query: str, budget: int, big: Column, text: str
         return F.when(full, F.struct(acc["out"].alias("out"), acc["used"].alias("used"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(acc["out"], F.array(more)).alias("out"), (acc["used"] + F.octet_length(more)).alias("used"), F.lit(False).alias("full")))
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("used"), F.lit(False).alias("full"))
-    joined = F.array_join(F.aggregate("_w", start, add, lambda s: s["out"]), WINDOW_BREAK)
-    return once(out, text, F.when(big, joined).otherwise(F.col(text))).drop("_w", "_t", "_f", "_s")
+    joined = F.array_join(F.aggregate(parts, start, add, lambda s: s["out"]), WINDOW_BREAK)
+    return once(out, text, F.when(F.col(chosen), joined).otherwise(F.col(text))).drop(parts, scores, chosen)
 
 
 def files(spark: SparkSession, root: str, extensions: list[str] | None = None, max_file_bytes: int | None = None, query: str | None = None, allowed_root: str | None = None) -> DataFrame:
@@ -129,7 +128,8 @@ def files(spark: SparkSession, root: str, extensions: list[str] | None = None, m
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", ""), f"^{base}/", "")
     ext = F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1))
     out = raw.withColumn("rel", rel).where(~F.col("rel").rlike("(^|/)(" + "|".join(d.replace(".", r"\.") for d in SKIP_DIRS) + ")/"))
-    out = out.where(~F.lower(F.regexp_extract("rel", r"([^/]*)$", 1)).isin(SKIP_FILES) & (ext.isin(extensions or DOC_EXT + CODE_EXT + OTHER_EXT) | F.lower(F.regexp_extract("rel", r"([^/]*)$", 1)).isin(BARE_NAMES)))
+    name = F.regexp_extract("rel", r"([^/]*)$", 1)
+    out = out.where(~name.isin(SKIP_FILES) & (ext.isin(extensions or READ_EXT) | F.lower(name).isin(BARE_NAMES)))
     gone = F.lit(False)
     for ignored, rule in ignore_rules(spark, root):
         gone = F.when(F.col("rel").rlike(rule), F.lit(ignored)).otherwise(gone)
