@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space as a class body for Java and RE2 alike.
 WS = r"\x09-\x0d \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters as a string, for the native trimming functions.
+WS_CHARS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"[\p{L}\p{N}_]+(?:['.’:][\p{L}\p{N}_]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHARS_PER_TOKEN, DEFAULT_MAX_TOKENS, BYPASS_CHARS = 4, 2048, 1000
@@ -20,9 +24,32 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names for own use that the table does not have (whatever their case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is evaluated once, however often ``fn`` uses it, within one expression."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def flat_lines(t: Column) -> Column:
+    """The text with line breaks of one character and none at the end."""
+    one = bound(t, lambda x: F.when(x.contains("\r\n"), F.replace(x, F.lit("\r\n"), F.lit("\n"))).otherwise(x))
+    return bound(one, lambda x: F.when(x.endswith("\n"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+
+
 def lines(t: Column) -> Column:
     """Lines of a text: a final line break gives no empty last line; '' and null have none."""
-    return F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\r?\n\z", ""), r"\r?\n"))
+    return bound(t, lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(flat_lines(x), "\n")))
 
 
 def unlines(a: Column) -> Column:
@@ -34,15 +61,15 @@ def ascii_lower(t: Column) -> Column:
 
 
 def trim(t: Column) -> Column:
-    return F.regexp_replace(t, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(t, F.lit(WS_CHARS))
 
 
 def trim_end(t: Column) -> Column:
-    return F.regexp_replace(t, rf"[{WS}]+\z", "")
+    return F.rtrim(t, F.lit(WS_CHARS))
 
 
 def trim_start(t: Column) -> Column:
-    return F.regexp_replace(t, rf"^[{WS}]+", "")
+    return F.ltrim(t, F.lit(WS_CHARS))
 
 
 def json_value(t: Column) -> Column:

@@ -46,11 +46,12 @@ def git_lines(a: Column) -> Column:
 
 def cargo_lines(a: Column) -> Column:
     """The first three Compiling lines (and any with error); downloads and checks go; a count leads."""
-    heads = F.transform(a, tx.trim_start)
-    n = F.size(F.filter(heads, lambda x: x.startswith("Compiling ")))
+    compiling = lambda x: tx.trim_start(x).startswith("Compiling ")
+    at = F.filter(F.transform(a, lambda x, i: F.when(compiling(x), i)), lambda i: i.isNotNull())
+    n, third = F.size(at), F.coalesce(F.get(at, F.lit(2)), F.size(a))
     gone = lambda x: any_of(x.startswith(s) for s in ("Downloading ", "Downloaded ", "Checking "))
-    rank = lambda i: F.size(F.filter(F.slice(heads, F.lit(1), i + 1), lambda y: y.startswith("Compiling ")))
-    kept = F.filter(a, lambda x, i: F.when(tx.trim_start(x).startswith("Compiling "), (rank(i) <= 3) | x.contains("error")).otherwise(~gone(tx.trim_start(x))))
+    # the third place is found once, in front of the filter that uses it
+    kept = F.flatten(F.transform(F.array(third), lambda last: F.filter(a, lambda x, i: F.when(compiling(x), (i <= last) | x.contains("error")).otherwise(~gone(tx.trim_start(x))))))
     return F.when(n > 3, F.concat(F.array(F.concat(F.lit("…["), n.cast("string"), F.lit(" Compiling lines collapsed]"))), kept)).otherwise(kept)
 
 
@@ -111,11 +112,14 @@ def compress_output(df: DataFrame, text: str = "text", domain: str = "auto", max
     for name, fn in LINES.items():
         body = F.when(F.col("domain") == name, tx.unlines(fn(tx.lines(t)))).otherwise(body)
     body = F.when(F.col("domain") == "json", densify_json(t)).otherwise(F.coalesce(body, t))
+    (held,) = tx.free(df, "body")
+    out = tx.once(out, held, body)
+    body = F.col(held)
     for name, drop in DOMAIN_DROPS.items():  # these patterns see right-trimmed lines, before white space collapses
-        body = F.when(F.col("domain") == name, _without(strip_ansi(body), drop)).otherwise(body)
-    out = with_filtered(tx.once(out, "_b", body), F.col("_b"), "content", json=False)
+        body = F.when(F.col("domain") == name, _without(strip_ansi(F.col(held)), drop)).otherwise(body)
+    out = with_filtered(tx.once(out, held, body), F.col(held), "content", json=False)
     if keep_head_tail:
         out = tx.once(out, "content", head_tail(F.col("content"), head, tail))
     if max_tokens is not None:
         out = tx.once(out, "content", head_tail_tokens(F.col("content"), max_tokens))
-    return out.withColumn("lines_in", F.size(tx.lines(t))).withColumn("lines_out", F.size(tx.lines(F.col("content")))).withColumn("metrics", tx.metrics(t, F.col("content"))).drop("_b")
+    return out.withColumn("lines_in", F.size(tx.lines(t))).withColumn("lines_out", F.size(tx.lines(F.col("content")))).withColumn("metrics", tx.metrics(t, F.col("content"))).drop(held)

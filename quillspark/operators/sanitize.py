@@ -41,19 +41,38 @@ def scrub(t: Column, secret_replacement: str | None = None, **kinds: bool) -> Co
     return t
 
 
+#: What a text must contain (in lower case) for a rule to match at all; checked before its pattern.
+NEEDS = {
+    "openai_sk": ["sk-"], "github_pat": ["ghp_", "github_pat_"], "aws_access_key": ["akia"], "slack_token": ["xox"], "private_key_block": ["private key-----"], "bearer_token": ["bearer"],
+    "assignment_secret": ["key", "password", "secret", "token", "passwd"], "ignore_previous": ["ignore"], "system_prompt_override": ["prompt", "developer"], "jailbreak_persona": ["you"],
+    "disregard_safety": ["disregard", "override"], "reveal_system_prompt": ["prompt"], "do_not_tell_user": ["user"], "system_prompt_param": ["system"], "is_visible_param": ["visible"], "hint_param": ["hint"],
+    "tool_config_param": ["config", "instructions"],
+}
+
+
 def sanitize(df: DataFrame, text: str = "text", secret_replacement: str | None = None, **kinds: bool) -> DataFrame:
     """Add content, findings (kind, label, count of rules that fired), redacted_count, metrics.
 
-    A step that no pattern can match costs one pass; texts are never exploded.
+    The text is lowered once, and a rule's pattern is tried only where a word that it needs
+    is there (no rule's replacement brings in such a word but where its own pattern, or one
+    before it, had matched, and then all patterns are tried). Texts are never exploded.
     """
     rules = chosen(**kinds)
-    out = df.withColumn("_t0", F.coalesce(F.col(text), F.lit("")))
-    for i, (kind, _, pattern, to) in enumerate(rules):
+    low, step, *rest = tx.free(df, "low", "step", *[f"t{i}" for i in range(len(rules) + 1)], *[f"n{i}" for i in range(len(rules))])
+    t, n = rest[: len(rules) + 1], rest[len(rules) + 1 :]
+    out = df.withColumn(t[0], F.coalesce(F.col(text), F.lit("")))
+    out = tx.once(out, low, F.lower(t[0]))
+    changed = F.lit(False)
+    for i, (kind, label, pattern, to) in enumerate(rules):
         to = secret_replacement if kind == "secret" and secret_replacement is not None else to
-        hit = F.col(f"_t{i}").rlike(pattern)
-        step = F.when(hit, F.struct(F.regexp_count(f"_t{i}", F.lit(pattern)).alias("n"), F.regexp_replace(f"_t{i}", pattern, to).alias("t"))).otherwise(F.struct(F.lit(0).alias("n"), F.col(f"_t{i}").alias("t")))
-        out = tx.once(out, "_r", step).withColumns({f"_n{i}": F.col("_r.n"), f"_t{i + 1}": F.col("_r.t")}).drop("_r", f"_t{i}")
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(lb).alias("label"), F.col(f"_n{i}").cast("long").alias("count")) for i, (k, lb, _, _) in enumerate(rules)])
-    out = out.withColumn("content", F.col(f"_t{len(rules)}")).withColumn("findings", F.filter(found, lambda x: x["count"] > 0))
+        may = changed
+        for word in NEEDS[label]:
+            may = may | F.col(low).contains(word)
+        hit = may & F.col(t[i]).rlike(pattern)
+        value = F.when(hit, F.struct(F.regexp_count(t[i], F.lit(pattern)).alias("n"), F.regexp_replace(t[i], pattern, to).alias("t"))).otherwise(F.struct(F.lit(0).alias("n"), F.col(t[i]).alias("t")))
+        out = tx.once(out, step, value).withColumns({n[i]: F.col(step)["n"], t[i + 1]: F.col(step)["t"]}).drop(step, t[i])
+        changed = changed | (F.col(n[i]) > 0)
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(lb).alias("label"), F.col(n[i]).cast("long").alias("count")) for i, (k, lb, _, _) in enumerate(rules)])
+    out = out.withColumn("content", F.col(t[-1])).withColumn("findings", F.filter(found, lambda x: x["count"] > 0))
     out = out.withColumn("redacted_count", F.aggregate("findings", F.lit(0).cast("long"), lambda s, x: s + x["count"])).withColumn("metrics", tx.metrics(F.col(text), F.col("content")))
-    return out.drop(*[f"_n{i}" for i in range(len(rules))], f"_t{len(rules)}")
+    return out.drop(low, *n, t[-1])
