@@ -89,24 +89,38 @@ def log_bodies(a: Column) -> Column:
 
 
 def group_logs(a: Column) -> Column:
-    """Equal bodies once, in order of first sight, with their count if above 1."""
-    b = log_bodies(a)
-    return F.transform(F.array_distinct(b), lambda x: F.when(F.size(F.array_remove(b, x)) < F.size(b) - 1, F.concat(F.lit("×"), (F.size(b) - F.size(F.array_remove(b, x))).cast("string"), F.lit(" "), x)).otherwise(x))
+    """Equal bodies once, in order of first sight, with their count if above 1.
+
+    One sort puts equal bodies side by side; where a run starts, its first place and its
+    length (up to the next start) are known.
+    """
+    held = F.array(F.array_sort(F.transform(log_bodies(a), lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
+
+    def grouped(s: Column) -> Column:
+        at = F.filter(F.transform(s, lambda x, k: k), lambda k: (k == 0) | (F.get(s, k)["x"] != F.get(s, k - 1)["x"]))
+        ends = F.concat(F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), F.array(F.size(s)))
+        runs = F.zip_with(at, ends, lambda k, e: F.struct(F.get(s, k)["i"].alias("i"), (e - k).alias("n"), F.get(s, k)["x"].alias("x")))
+        return F.transform(F.array_sort(F.filter(runs, lambda r: r["n"] > 0)), lambda r: F.when(r["n"] > 1, F.concat(F.lit("×"), r["n"].cast("string"), F.lit(" "), r["x"])).otherwise(r["x"]))
+
+    return F.flatten(F.transform(held, grouped))
 
 
 def squeeze_code(a: Column) -> Column:
-    """Without block comments (whole lines), line comments but notes and doc ones, and lone brackets."""
-    t = F.transform(a, tx.trim)
-    kind = "struct<out:array<string>,inside:boolean>"
+    """Without block comments (whole lines), line comments but notes and doc ones, and lone brackets.
 
-    def step(acc: Column, x: Column) -> Column:
-        inside = acc["inside"] | x.startswith("/*")
+    A block goes from a line that starts with /* to the first one that holds */, or to the
+    end: one pattern over the text, as no line holds a line break.
+    """
+    t = F.concat(F.lit("\n"), tx.unlines(F.transform(a, tx.trim)))
+    t = F.regexp_replace(t, r"\n/(?=\*)(?:[\s\S]*?\*/[^\n]*|[\s\S]*)", "")
+    rows = F.when((F.size(a) == 0) | (t == ""), F.array().cast("array<string>")).otherwise(F.split(F.substring(t, F.lit(2), F.length(t)), "\n"))
+
+    def keep(x: Column) -> Column:
         comment = x.startswith("//") | (x.startswith("#") & ~x.startswith("#!"))
         note = any_of(x.contains(n) for n in NOTES) | x.startswith("///") | x.startswith("//!")
-        keep = ~inside & F.when(comment, note).otherwise(~x.isin(LONE_BRACKETS))
-        return F.struct(F.when(keep, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"), (inside & ~x.contains("*/")).alias("inside"))
+        return F.when(comment, note).otherwise(~x.isin(LONE_BRACKETS))
 
-    return F.aggregate(t, F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside")).cast(kind), step, lambda s: s["out"])
+    return F.filter(rows, keep)
 
 
 def squeeze_conversation(a: Column) -> Column:
@@ -133,12 +147,18 @@ def _compact(v, depth: int = 0):
 
 @F.pandas_udf(T.StringType())
 def compact_json(texts: pd.Series) -> pd.Series:
-    """Recursive pruning of JSON texts, which no built-in expresses; other texts stay."""
+    """Recursive pruning of JSON texts, which no built-in expresses; other texts, and those nested too deep, stay.
+
+    Spark runs this on every row, whatever condition is around it: give null for rows that
+    do not need it, which cost nothing.
+    """
 
     def one(t: str | None) -> str | None:
+        if t is None:
+            return None
         try:
-            return json.dumps(_compact(json.loads((t or "").strip())), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
-        except ValueError:
+            return json.dumps(_compact(json.loads(t.strip())), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+        except (ValueError, RecursionError):
             return t
 
     return texts.map(one)
@@ -155,17 +175,19 @@ def hard_truncate(t: Column, max_tokens: int) -> Column:
 def compress(df: DataFrame, text: str = "text", max_tokens: int = tx.DEFAULT_MAX_TOKENS, dedupe: bool = True, with_entities: bool = True, prefilter: bool = True, content_type: str = "auto", force: bool = False) -> DataFrame:
     """Add content, content_type, entities, bypassed and metrics; short texts pass unchanged unless forced."""
     t = F.coalesce(F.col(text), F.lit(""))
+    w, rows, b = tx.free(df, "work", "rows", "body")
     out = df.withColumn("bypassed", (F.length(t) < tx.BYPASS_CHARS) & F.lit(not force))
     work = F.when(F.col("bypassed"), F.lit("")).otherwise(t)  # bypassed texts cost nothing more
-    out = with_filtered(out, work, "_w", json=content_type in ("auto", "json")) if prefilter else tx.once(out, "_w", work)
-    out = tx.once(out, "content_type", F.when(F.col("bypassed"), F.lit(None)).otherwise(detect_type(F.col("_w")) if content_type == "auto" else F.lit(content_type)))
-    out = with_entity_index(out, "_w") if with_entities else out.withColumn("entities", F.array().cast("array<string>"))
-    out = tx.once(out, "_a", tx.lines(F.col("_w")))
-    out = tx.once(out, "_a", fold_similar(F.col("_a"))) if dedupe else out
-    kind, a = F.col("content_type"), F.col("_a")
+    out = with_filtered(out, work, w, json=content_type in ("auto", "json")) if prefilter else tx.once(out, w, work)
+    out = tx.once(out, "content_type", F.when(F.col("bypassed"), F.lit(None)).otherwise(detect_type(F.col(w)) if content_type == "auto" else F.lit(content_type)))
+    out = with_entity_index(out, w) if with_entities else out.withColumn("entities", F.array().cast("array<string>"))
+    out = tx.once(out, rows, tx.lines(F.col(w)))
+    out = tx.once(out, rows, fold_similar(F.col(rows))) if dedupe else out
+    kind, a = F.col("content_type"), F.col(rows)
     body = F.when(kind == "log", tx.unlines(group_logs(a))).when(kind == "code", tx.unlines(squeeze_code(a))).when(kind == "conversation", tx.unlines(squeeze_conversation(a))).otherwise(tx.unlines(a))
-    out = tx.once(out, "_b", F.when(kind == "json", compact_json(tx.unlines(a))).otherwise(body))
-    headed = F.when(F.size("entities") > 0, F.concat(F.lit("[entities: "), F.array_join("entities", " · "), F.lit("]\n"), F.col("_b"))).otherwise(F.col("_b"))
-    out = tx.once(out, "_b", headed)
-    out = tx.once(out, "content", F.when(F.col("bypassed"), t).otherwise(hard_truncate(F.col("_b"), max_tokens)))
-    return out.withColumn("metrics", tx.metrics(t, F.col("content"))).drop("_w", "_a", "_b")
+    out = tx.once(out, b, body)
+    out = tx.once(out, b, F.coalesce(compact_json(F.when(kind == "json", F.col(b))), F.col(b)))
+    headed = F.when(F.size("entities") > 0, F.concat(F.lit("[entities: "), F.array_join("entities", " · "), F.lit("]\n"), F.col(b))).otherwise(F.col(b))
+    out = tx.once(out, b, headed)
+    out = tx.once(out, "content", F.when(F.col("bypassed"), t).otherwise(hard_truncate(F.col(b), max_tokens)))
+    return out.withColumn("metrics", tx.metrics(t, F.col("content"))).drop(w, rows, b)

@@ -122,7 +122,7 @@ def render(found: list[tuple[int, str, list[str]]], depth: int) -> str:
 
 @F.pandas_udf(T.StringType())
 def _summary(t: pd.Series, mode: pd.Series, depth: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([render(sections(x or "", m, d, k), d) for x, m, d, k in zip(t, mode, depth, most, strict=True)])
+    return pd.Series([None if x is None else render(sections(x, m, d, k), d) for x, m, d, k in zip(t, mode, depth, most, strict=True)])
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("level", T.IntegerType()).add("title", T.StringType()).add("bullets", T.ArrayType(T.StringType()))))
@@ -149,7 +149,7 @@ def summarize(df: DataFrame, text: str = "text", mode: str = "auto", max_depth:
     """Add mode, summary, bypassed, metrics. Trees are flat sections by level, as Spark has no recursive types."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("bypassed", (F.length(t) < tx.BYPASS_CHARS) & F.lit(not force)).withColumn("mode", detect_mode(t) if mode == "auto" else F.lit(mode))
-    s = summarize_text(t, F.col("mode"), F.lit(max_depth), F.lit(max_bullets), F.lit(max_tokens) if max_tokens is not None else None)
+    s = summarize_text(F.when(~F.col("bypassed"), t), F.col("mode"), F.lit(max_depth), F.lit(max_bullets), F.lit(max_tokens) if max_tokens is not None else None)
     return out.withColumn("summary", F.when(F.col("bypassed"), t).otherwise(s)).withColumn("metrics", tx.metrics(t, F.col("summary")))
 
 
@@ -157,7 +157,8 @@ def summarize_smart(df: DataFrame, text: str = "text", query: str | None = None,
     """The summary by heuristics, of the lines that matter to the query if one is given; names its backend."""
     from .ranking import keep_lines
 
-    src = df.withColumn("_src", F.coalesce(F.col(text), F.lit("")))
-    src = keep_lines(src, query, "_src") if query else src
-    out = summarize(src, "_src", **options).drop("_src")
+    (held,) = tx.free(df, "source_text")
+    src = df.withColumn(held, F.coalesce(F.col(text), F.lit("")))
+    src = keep_lines(src, query, held) if query else src
+    out = summarize(src, held, **options).drop(held)
     return out.withColumns({"backend": F.lit("heuristic"), "fallback_reason": F.lit("no model configured"), "deterministic": F.lit(True)})

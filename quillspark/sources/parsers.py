@@ -11,22 +11,26 @@ _ROLE = r"(?i)^(user|assistant|system|human|ai):"
 
 
 def transcript(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, turn, role, text) from a JSON list of {role, content}, else from role-prefixed lines."""
-    parsed = F.from_json(F.col(text), "array<struct<role:string,content:string>>")
-    a = tx.lines(F.col(text))
-    marks = F.transform(a, lambda x, i: F.aggregate(F.slice(a, F.lit(1), i + 1), F.lit(0), lambda s, y: s + tx.trim(y).rlike(_ROLE).cast("int")))
-    n = F.coalesce(F.array_max(marks), F.lit(0))
-    pairs = F.arrays_zip(a.alias("x"), marks.alias("m"))
+    """(key, turn, role, text) from a JSON list of {role, content}, else from role-prefixed lines.
 
-    def turn(k):
-        own = F.transform(F.filter(pairs, lambda p: p["m"] == k), lambda p: p["x"])
+    A turn goes from a line with a role to the next one; places are found once, in one pass.
+    """
+    parsed = F.from_json(F.col(text), "array<struct<role:string,content:string>>")
+    rows, starts, ends = tx.free(df, "rows", "starts", "ends")
+    out = tx.once(df, rows, tx.lines(F.col(text)))
+    marks = F.filter(F.transform(rows, lambda x, i: F.when(tx.trim(x).rlike(_ROLE), i)), lambda i: i.isNotNull())
+    out = tx.once(out, starts, F.array_distinct(F.concat(F.array(F.lit(0)), marks)))
+    out = tx.once(out, ends, F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(rows))))
+
+    def turn(a, b):
+        own = F.slice(rows, a + 1, F.greatest(b - a, F.lit(0)))
         head = tx.trim(F.coalesce(F.get(own, F.lit(0)), F.lit("")))
         role = tx.ascii_lower(F.regexp_extract(head, _ROLE, 1))
         role = F.when(role == "human", "user").when(role == "ai", "assistant").when(role == "", "user").otherwise(role)
         return F.struct(role.alias("role"), tx.trim(F.regexp_replace(tx.unlines(own), rf"(?i)^[{tx.WS}]*(user|assistant|system|human|ai):", "")).alias("content"))
 
-    by_line = F.filter(F.transform(F.sequence(F.lit(0), n), turn), lambda t: t["content"] != "")
-    out = df.select(key, F.posexplode(F.when(tx.trim(F.col(text)).startswith("[") & parsed.isNotNull(), parsed).otherwise(by_line)).alias("turn", "t"))
+    by_line = F.filter(F.zip_with(starts, ends, turn), lambda t: t["content"] != "")
+    out = out.select(key, F.posexplode(F.when(tx.trim(F.col(text)).startswith("[") & parsed.isNotNull(), parsed).otherwise(by_line)).alias("turn", "t"))
     return out.select(key, "turn", F.coalesce("t.role", F.lit("user")).alias("role"), F.col("t.content").alias("text"))
 
 

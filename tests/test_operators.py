@@ -148,7 +148,7 @@ def test_archives(spark):
     made = {r.archive_id: r for r in archive.pack(rows, max_plain=50).collect()}
     assert made[1].error is None and made[1].file_count == 2 and made[2].error == "unsafe path ../up" and made[3].error == "too many bytes" and made[3].archive is None
     back = archive.unpack(archive.pack(rows, max_plain=50))
-    assert {tuple(r) for r in back.collect()} == {(1, "a.txt", "A"), (1, "b/c.txt", "é" * 9)}
+    assert {tuple(r) for r in back.collect()} == {(1, "a.txt", "A", None), (1, "b/c.txt", "é" * 9, None)}
 
 
 def test_parsers(spark):
@@ -257,3 +257,91 @@ def test_no_other_module_imports_the_optional_part():
 
     root = Path(quillspark.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and re.search(r"\bllm\b", p.read_text()) and "import" in p.read_text() and re.search(r"from.*\bllm\b|import.*\.llm\b", p.read_text())]
+
+
+def test_archives_are_whole_or_an_error(spark):
+    import base64
+    import io
+    import zipfile
+
+    def zipped(names):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for n in names:
+                z.writestr(n, "text of " + n)
+        return held.getvalue()
+
+    rows = [(1, zipped([f"f{i}" for i in range(60)])), (2, b"no zip"), (3, zipped(["../up"])), (4, zipped(["a" * 90])), (5, zipped(["ok"])), (6, zipped([])), (7, None), (8, zipped(["x"])[:-30])]
+    got = archive.unpack(spark.createDataFrame(rows, "archive_id long, archive binary"), max_plain=60).collect()
+    assert {r.archive_id: (r.path, r.text) for r in got if r.error is None} == {5: ("ok", "text of ok")}
+    assert sorted(r.archive_id for r in got if r.error) == [1, 2, 3, 4, 6, 8] and "60 files" in next(r.error for r in got if r.archive_id == 1)
+    texts = spark.createDataFrame([(5, base64.b64encode(rows[4][1]).decode()), (9, "???")], "archive_id long, archive string")
+    assert {(r.archive_id, r.path) for r in archive.unpack(texts).collect()} == {(5, "ok"), (9, None)}
+    given = spark.createDataFrame([(1, "a", None), (1, "b", "x" * 30), (None, "c", "y"), (2, None, "z")], "archive_id long, path string, text string")
+    made = {r.archive_id: r for r in archive.pack(given, include_base64=True).collect()}
+    assert made[1].error is None and made[1].uncompressed_bytes == 30 and base64.b64decode(made[1].base64) == bytes(made[1].archive) and made[1].cache_key.startswith("cache://pack/")
+    assert made[None].error is None and made[None].file_count == 1 and made[2].error == "unsafe path None" and made[2].archive is None
+    chunks = archive.unpack_chunks(archive.pack(given), chunk_tokens=64, overlap_tokens=8).where("archive_id = 1").orderBy("index").collect()
+    assert chunks[0].content.startswith("# file: a\n") and "# file: b\n" + "x" * 30 in "".join(c.content for c in chunks)
+
+
+def test_deep_json_does_not_end_the_job(spark):
+    rows = docs(spark, "[" * 100_000, '{"a": ' * 3000 + "1" + "}" * 3000, '{"k": [1,2,3]}', None)
+    got = compression.compress(rows, force=True, content_type="json", prefilter=False, max_tokens=10**6).orderBy("doc_id").collect()
+    assert got[0].content.endswith("[" * 100) and got[2].content == '{"k":[1,2,3]}' and got[3].content == ""
+
+
+def test_patterns_that_java_refuses_are_ignored(spark):
+    got = gateway.run("filter", docs(spark, "abc\nxyz"), drop=["(?P<n>abc)", "[", "^x"]).first()
+    assert got.content == "abc"
+
+
+def test_columns_of_the_user_stay(spark):
+    names = "_tok _lines _l _t _f _s _a _b _w _r _t0 _n0 facts counts lines scores rows body work low step n avgdl df0 lo hi source_text budget_sum met windows chosen".split()
+    d = docs(spark, "an error line 404\nalpha beta", "short").withColumns({n: F.lit(n) for n in names})
+    outs = [
+        ranking.bm25(d, "alpha 404"), ranking.keep_lines(d, "alpha"), gateway.run("filter", d, query="alpha"), gateway.run("compress", d, force=True), gateway.run("compress_output", d), gateway.run("sanitize", d),
+        gateway.run("summarize_smart", d, query="alpha"), workspace.query_windows(d, "alpha", 3000, F.col("doc_id") == 0), ranking.min_max(d.withColumn("x", F.col("doc_id")), "x", "y"),
+    ]
+    for out in outs:
+        assert out.where("doc_id = 0").select(*names).first().asDict() == {n: n for n in names}
+
+
+def test_long_texts_take_one_pass(spark):
+    n = 100_000
+    log = "\n".join(f"2024-01-01T10:00:00Z [app] event {i % 50_000}" for i in range(n))
+    code = "\n".join(["/*", "gone", "*/", "let x = 1;"] * (n // 4))
+    cargo = "\n".join(["    Compiling a", "warning: b"] * (n // 2))
+    d = spark.createDataFrame([(log, code, cargo)], "log string, code string, cargo string")
+    got = d.select(F.size(compression.group_logs(tx.lines(F.col("log")))).alias("a"), F.size(compression.squeeze_code(tx.lines(F.col("code")))).alias("b"), F.size(output.cargo_lines(tx.lines(F.col("cargo")))).alias("c")).first()
+    assert (got.a, got.b, got.c) == (50_000, n // 4, n // 2 + 4)
+    talk = "\n".join(f"user: line {i}" for i in range(20_000))
+    assert parsers.transcript(docs(spark, talk)).count() == 20_000
+
+
+def test_last_turn_is_cut_to_the_budget(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "first"), (1, 1, "user", "word " * 500), (2, 0, "user", "short")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.text for r in history.within_budget(rows, 50).collect()}
+    assert got[1].endswith("…[truncated]") and len(got[1]) < 250 and got[2] == "short"
+
+
+def test_distant_turns_can_be_fetched_from_the_cache(spark):
+    rows = spark.createDataFrame([(1, k, "user", f"a long enough turn number {k}") for k in range(6)], "conv_id long, turn long, role string, text string")
+    pruned = history.prune_history(rows, "afm", keep_last=1, thematic=1)
+    cache = state.cache_put(None, history.distant_payloads(rows, 1, 1), now=1)
+    whole = history.rendered_history(pruned)
+    got = state.cache_get(cache, whole.select(F.col("distant_key").alias("key")), 2).first()
+    assert got.hit and got.content.startswith("user: a long enough turn number 0\n") and "number 3" in got.content and "number 4" not in got.content
+    assert whole.first().rendered.endswith("user: a long enough turn number 5\n")
+
+
+def test_rerank_numbers_and_metrics(spark):
+    d = docs(spark, *[f"alpha {'beta ' * (i % 7)}" for i in range(300)], None)
+    hits = ranking.rerank(d, "alpha beta")
+    rows = hits.collect()
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and [(-r.score, r.doc_id) for r in rows] == sorted((-r.score, r.doc_id) for r in rows)
+    m = ranking.rerank_metrics(d, hits).first()
+    assert (m.candidates, m.hits) == (301, len(rows)) and m.original_tokens > 0
+    one = ranking.bm25_scores(d, "alpha beta", keep=["doc_id"])
+    assert {(r.doc_id, r.bm25_score) for r in one.collect()} == {(r.doc_id, r.bm25_score) for r in ranking.bm25(d, "alpha beta").collect()}
+    assert ranking.rerank(d, "alpha", top_k=2, include_text=True).first().text.startswith("alpha")
