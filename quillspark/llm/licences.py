@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licence_texts
+from .common import staged
 
 #: White space, punctuation and symbols but the line break, as a class body for Java and RE2 alike.
 MARKS = r"\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f\xa0-\xbf"
@@ -68,7 +69,8 @@ def scan(docs: DataFrame, licences: DataFrame | None = None, text: str = "text",
     """
     empty = F.sha2(F.lit(""), 256)
     licences = known(docs.sparkSession) if licences is None else licences
-    licences = licences.where(F.col("digest") != empty).groupBy("kind", "digest").agg(F.min("licence").alias("licence"))
+    # written, so that its size is known when the join is planned and lines need no shuffle to find out
+    licences = staged(licences.where(F.col("digest") != empty).groupBy("kind", "digest").agg(F.min("licence").alias("licence")).coalesce(1), "known")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].cast("long").alias("doc_id"), F.inline(F.array(F.struct(_words(docs[text]).alias("words")))))
     mark = lambda kind, d: F.struct(F.lit(kind).alias("kind"), d.alias("digest"))
     lines = F.filter(F.array_distinct(F.transform(F.split("words", "\n"), _joined)), lambda x: x != "")
