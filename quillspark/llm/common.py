@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,54 +10,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import new_path, remove, shared_dir, staged  # noqa: F401
+
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
 PASS_BYTES = 1 << 20
 
 _U = np.uint64
 
 
-# --------------------------------------------------------------------------- storage
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process
-    (tests, a laptop) a temporary folder is made and set. On a cluster an unset folder is an
-    error, as every executor would write to its own disk.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = getattr(spark, "_quill_shared", None)
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="quill-")
-            spark._quill_shared = where
-            spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/quill-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(top)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

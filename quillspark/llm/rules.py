@@ -147,10 +147,11 @@ def assess(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
 def kept_rows(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps, with all their columns.
 
-    Labelled texts are read twice, so that no text is shuffled: only keys and statistics
-    meet the labels, and the cutoffs, a row per stratum, come back to the texts.
+    Rows and their statistics are written once to the shared folder: the cutoffs read the
+    statistics of labelled keys from there, without the texts, and the verdict filters the
+    rows. No text is looked at twice, and none is shuffled.
     """
-    s = text_stats(docs, text).withColumns({"doc_id": F.col("row")[key].cast("long"), "stratum": F.col("row")[stratum].cast("string")})
+    s = staged(text_stats(docs, text).withColumns({"doc_id": F.col("row")[key].cast("long"), "stratum": F.col("row")[stratum].cast("string")}), "rule_rows")
     most = staged(cutoffs(_labelled(s.drop("row"), labels), F.lit(True), risk=risk, delta=delta), "cutoffs")
     return _verdict(s, most).where("kept").select("row.*")
 
