@@ -180,6 +180,9 @@ ORACLE_SQL = {
     "filter_documents": filtered("documents").replace("{more}", f", {tokens_of('s.text')} AS original_tokens, {tokens_of('c')} AS result_tokens"),
     "filter_noise": filtered(NOISE).replace("{more}", ""),
     "filter_keep_drop": filtered(MIXED, "AND NOT (regexp_matches(x, '^see') OR regexp_matches(x, 'tion')) AND regexp_matches(x, 'the')", False).replace("{more}", ""),
+    "filter_collapse_ws": over(MIXED, content=joined(f"list_transform({lines('text')}, lambda x: {sub('x', f'[{tx.WS}]+', ' ')})")),
+    "filter_blank_runs": f"SELECT s.doc_id, coalesce(c, '') AS content FROM {MIXED} s LEFT JOIN (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS c FROM (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM ({exploded(MIXED, trim_end('x'))})) WHERE x <> '' OR p IS NULL OR p <> '' GROUP BY doc_id) b ON b.doc_id = s.doc_id",
+    "entities_top": f"SELECT entity, count(*) AS n FROM (SELECT unnest(string_split(entities, '·')) AS entity FROM ({entities()}) WHERE entities <> '') GROUP BY entity ORDER BY n DESC, entity LIMIT 20",
     "filter_boilerplate": f"SELECT event_id, {boiler('x')} AS noise FROM (SELECT event_id, {trim_end(noise.LINE)} AS x FROM events)",
     "filter_truncate": over("documents", content=f"CASE WHEN {tokens_of('text')} <= 100 THEN text ELSE {prefix('text', 400)} || chr(10) || '…[truncated]' END"),
     "densify_json": "SELECT event_id, CAST(CAST(props AS JSON) AS VARCHAR) AS content FROM (SELECT event_id, replace(props, ' ', '') AS props FROM events)",
@@ -217,7 +220,7 @@ ORACLE_SQL = {
     "hybrid_rerank": f"SELECT doc_id, round(0.55 * b + 0.45 * ({cos('v.embedding', 'o.embedding')} + 1) / 2, 6) AS score FROM (SELECT doc_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS b FROM ({bm25()})) JOIN embeddings v ON doc_id = vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) o ORDER BY 2 DESC, 1 LIMIT 50",
     "chunk_fixed": "SELECT doc_id, k AS idx, k * 1792 AS start, substring(text, k * 1792 + 1, 2048) AS content FROM (SELECT doc_id, text, unnest(range(greatest(CAST(ceil((length(text) - 256) / 1792.0) AS BIGINT), 1))) AS k FROM documents WHERE length(text) > 0)",
     "resolve_chunk": None,
-    "cache_ttl_get": "WITH c AS (SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS m, arg_max(props, event_id) AS content FROM events WHERE event_id % 3 < 2 GROUP BY 1) SELECT k.key, c.content, c.content IS NOT NULL AS hit FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events) k LEFT JOIN c ON c.key = k.key AND m + 5000 > 12000",
+    "cache_ttl_get": "WITH c AS (SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS m, arg_max(props, event_id) AS content FROM events GROUP BY 1) SELECT k.key, c.content, c.content IS NOT NULL AS hit FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events) k LEFT JOIN c ON c.key = k.key AND m + 5000 > 12000",
     "session_stats": f"SELECT {_sums} FROM {_calls}",
     "stats_by_action": f"SELECT action, {_sums} FROM {_calls} GROUP BY action",
     "latency_percentiles": "SELECT action, len(v) AS n, " + ", ".join(f"round(v[CAST(floor((len(v) - 1) * {p} + 0.5) AS BIGINT) + 1], 3) AS {n}" for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + f" FROM (SELECT action, list_sort(list(ms)) AS v FROM {_calls} GROUP BY action)",

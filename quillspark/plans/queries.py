@@ -67,7 +67,7 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def cache_gets(spark: SparkSession, d: str) -> DataFrame:
     puts = events(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("props").alias("content"), F.col("event_id").alias("put_at"))
-    cache = state.cache_put(None, puts.where("put_at % 3 < 2"), NOW, 60).withColumn("expires_at", F.col("put_at") + 5000)
+    cache = state.cache_put(None, puts, NOW, 60).withColumn("expires_at", F.col("put_at") + 5000)
     keys = events(spark, d).select(F.col("user_id").cast("string").alias("key")).distinct()
     return state.cache_get(cache, keys, 12000).select("key", "content", "hit")
 
@@ -103,12 +103,15 @@ QUERIES = {
     "filter_documents": lambda s, d: filtering.filter_lines(docs(s, d)).select("doc_id", "content", F.col("metrics.original_tokens").alias("original_tokens"), F.col("metrics.result_tokens").alias("result_tokens"), F.col("lines_removed").cast("long").alias("lines_removed")),
     "filter_noise": lambda s, d: filtering.filter_lines(noise.documents(s, d), json=False).select("doc_id", "content", F.col("lines_removed").cast("long").alias("lines_removed")),
     "filter_keep_drop": lambda s, d: filtering.filter_lines(mixed(s, d), json=False, keep=["the", "["], drop=["^see", "tion"]).select("doc_id", "content"),
+    "filter_collapse_ws": per_text(mixed, content=lambda: F.regexp_replace(tx.flat_lines(F.col("text")), rf"[{tx.WS}&&[^\n]]+", " ")),
+    "filter_blank_runs": per_text(mixed, content=lambda: filtering.capped(filtering.right_trimmed(F.col("text")), 1)),
     "filter_boilerplate": lambda s, d: noise.lines(s, d).select("event_id", filtering.is_boilerplate(tx.trim_end(F.col("line"))).alias("noise")),
     "filter_truncate": per_text(docs, content=lambda: tx.truncate(F.col("text"), 100)),
     "densify_json": lambda s, d: events(s, d).select("event_id", filtering.densify_json(F.concat(F.lit(" "), F.col("props"), F.lit("\n"))).alias("content")),
     "sanitize_text": lambda s, d: sanitize.sanitize(mixed(s, d)).select("doc_id", "content", "redacted_count"),
     "sanitize_findings": lambda s, d: sanitize.sanitize(mixed(s, d)).select(F.explode("findings").alias("f")).groupBy("f.kind", "f.label").agg(F.sum("f.count").alias("n"), F.count(F.lit(1)).alias("docs")),
     "entities_extract": lambda s, d: compression.with_entity_index(mixed(s, d), "text").select("doc_id", F.array_join("entities", "·").alias("entities")),
+    "entities_top": lambda s, d: compression.with_entity_index(mixed(s, d), "text").select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(20),
     "dedupe_consecutive": text_of_lines(compression.squeeze_conversation),
     "dedupe_jaccard": text_of_lines(compression.fold_similar),
     "log_group": text_of_lines(compression.group_logs),
