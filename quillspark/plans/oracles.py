@@ -220,7 +220,7 @@ ORACLE_SQL = {
     "hybrid_rerank": f"SELECT doc_id, round(0.55 * b + 0.45 * ({cos('v.embedding', 'o.embedding')} + 1) / 2, 6) AS score FROM (SELECT doc_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS b FROM ({bm25()})) JOIN embeddings v ON doc_id = vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) o ORDER BY 2 DESC, 1 LIMIT 50",
     "chunk_fixed": "SELECT doc_id, k AS idx, k * 1792 AS start, substring(text, k * 1792 + 1, 2048) AS content FROM (SELECT doc_id, text, unnest(range(greatest(CAST(ceil((length(text) - 256) / 1792.0) AS BIGINT), 1))) AS k FROM documents WHERE length(text) > 0)",
     "resolve_chunk": None,
-    "cache_ttl_get": "WITH c AS (SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS m, arg_max(props, event_id) AS content FROM events GROUP BY 1) SELECT k.key, c.content, c.content IS NOT NULL AS hit FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events) k LEFT JOIN c ON c.key = k.key AND m + 5000 > 12000",
+    "cache_ttl_get": "WITH c AS (SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS m, arg_max(props, event_id) AS content FROM events GROUP BY 1) SELECT k.key, c.content, c.content IS NOT NULL AS hit FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) || unnest(['', 'x']) AS key FROM events) k LEFT JOIN c ON c.key = k.key AND m + CASE WHEN CAST(c.key AS BIGINT) % 3 = 0 THEN 0 ELSE 5000 END > 12000",
     "session_stats": f"SELECT {_sums} FROM {_calls}",
     "stats_by_action": f"SELECT action, {_sums} FROM {_calls} GROUP BY action",
     "latency_percentiles": "SELECT action, len(v) AS n, " + ", ".join(f"round(v[CAST(floor((len(v) - 1) * {p} + 0.5) AS BIGINT) + 1], 3) AS {n}" for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + f" FROM (SELECT action, list_sort(list(ms)) AS v FROM {_calls} GROUP BY action)",

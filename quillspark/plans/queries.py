@@ -67,8 +67,9 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def cache_gets(spark: SparkSession, d: str) -> DataFrame:
     puts = events(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("props").alias("content"), F.col("event_id").alias("put_at"))
-    cache = state.cache_put(None, puts, NOW, 60).withColumn("expires_at", F.col("put_at") + 5000)
-    keys = events(spark, d).select(F.col("user_id").cast("string").alias("key")).distinct()
+    cache = state.cache_put(None, puts, NOW, 60).withColumn("expires_at", F.col("put_at") + F.when(F.col("key").cast("long") % 3 == 0, 0).otherwise(5000))
+    users = events(spark, d).select(F.col("user_id").cast("string").alias("key")).distinct()
+    keys = users.unionByName(users.select(F.concat("key", F.lit("x")).alias("key")))  # every other key was never put
     return state.cache_get(cache, keys, 12000).select("key", "content", "hit")
 
 
