@@ -9,6 +9,8 @@ from .common import staged
 
 #: Units that one pivotal fold works through; bounds a task's memory and the tree's fan-in.
 BLOCK = 128
+#: Size classes in an octave; classes that are next to each other share a fold while it has room.
+FINE = 8
 _BLANKS = " \t\n\x0b\x0c\r"
 _WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -29,7 +31,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float = 1.5, cap: flo
     that is left for it and all after it; that level is L (for those after it, the same
     quotient is lower, hence the maximum). Sources of size 0 have target 0.
 
-    The two windows run over one row per source, a table as long as the list of weights.
+    The windows run in one task over one narrow row for each source.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     t = sizes.withColumn("rank", F.row_number().over(order) - 1)
@@ -50,6 +52,25 @@ def _coin(*of: Column) -> Column:
     return F.pmod(F.xxhash64(*of), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
+def _kind(size: Column) -> Column:
+    """Class of a size, FINE to an octave."""
+    return F.floor(F.log2(size + F.lit(1.0)) * FINE).cast("int")
+
+
+def _lanes(kinds: DataFrame) -> DataFrame:
+    """Where the units of each size class of a source are folded: lane, and parts it is dealt to.
+
+    ``kinds`` has source, kind, units. From the largest sizes down, classes are cut into
+    lanes of BLOCK to 2 BLOCK units, so that units of like size duel and a source of at most
+    BLOCK units is one fold. A class of more units is a lane by itself, dealt by hash to as
+    many parts as it needs. A row for each class, of which a source has a few hundred at most.
+    """
+    down = Window.partitionBy("source").orderBy(F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    k = kinds.withColumn("run", F.coalesce(F.sum("units").over(down), F.lit(0)))
+    big = F.col("units") > BLOCK
+    return k.withColumn("lane", F.when(big, -F.col("kind") - 1).otherwise(F.floor(F.col("run") / BLOCK))).withColumn("parts", F.when(big, F.ceil(F.col("units") / BLOCK)).otherwise(F.lit(1)).cast("long")).drop("run", "units")
+
+
 _UNIT = "struct<doc_id:bigint,size:bigint,n:bigint,total:bigint,p:double,coin:double>"
 
 
@@ -87,11 +108,12 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float =
 
     A source's documents each have target / source_size expected copies. Whole copies are
     given outright; what is left of each, a probability, goes through pivotal rounding:
-    within a source, units of like size are dealt by hash into blocks of about BLOCK and
-    folded, largest first; every block hands its one fractional unit to the next round,
-    until one is left for a source, which a last coin decides. The number of taken units
-    is then exact but for that coin, and taken words differ from the target by about a
-    document of the source.
+    within a source, units are folded from the largest size down, in blocks of neighbours in
+    size (``_lanes``); every block hands its one fractional unit to the next round, which
+    does the same, until one is left for a source, which a last coin decides. The number of
+    taken units is then exact but for that coin. A duel moves words only as far as its two
+    units differ, so taken words differ from the target by less than the largest document
+    of the source, mostly by far less.
 
     Rows with equal key, size and source count as one unit of several (pre-aggregated), so
     repeated rows cannot fill a block. Returns doc_id, source, size, source_size, target,
@@ -101,16 +123,15 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float =
     """
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), docs[text].alias("text"))
     units = staged(rows.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")), "units")
-    units = units.withColumn("kind", F.floor(F.log2(F.col("size") + F.lit(1.0)) * 2).cast("int"))
+    units = units.withColumn("kind", _kind(F.col("size")))
     kinds = units.groupBy("source", "kind").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.count(F.lit(1)).alias("units"))
     of = targets(kinds.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
-    plan = kinds.alias("k").join(of.alias("t"), F.col("k.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("k.source").alias("source"), "kind", "source_size", "target", F.ceil(F.col("units") / BLOCK).cast("long").alias("blocks")
-    )
+    plan = _lanes(kinds.drop("words")).alias("k").join(of.alias("t"), F.col("k.source").eqNullSafe(F.col("t.source")))
+    plan = plan.select("k.source", "kind", "source_size", "target", "lane", "parts")
     u = (
         units.alias("u")
         .join(plan.alias("p"), F.col("u.source").eqNullSafe(F.col("p.source")) & (F.col("u.kind") == F.col("p.kind")))
-        .select("u.source", "u.kind", "source_size", "target", "blocks", "doc_id", "size", "n")
+        .select("u.source", "source_size", "target", "lane", "parts", "doc_id", "size", "n")
         .withColumn("mass", F.when(F.col("source_size") > 0, F.col("target") / F.greatest(F.col("source_size"), F.lit(1)) * F.col("n")).otherwise(F.lit(0.0)))
         .withColumn("total", F.floor("mass").cast("long"))
         .withColumn("p", F.col("mass") - F.col("total"))
@@ -120,23 +141,24 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float =
     u = staged(u, "shares")
     whole = u.where(F.col("p") == 0.0)
     decided = [whole.select(*group, F.struct("doc_id", "size", "n", "total", F.col("p"), F.lit(0.0).alias("coin")).cast(_UNIT).alias("unit"))]
-    left = u.where(F.col("p") > 0.0).select(*group, "kind", F.pmod(F.xxhash64(*hash_of, F.lit("block")), F.col("blocks")).alias("block"), F.struct("doc_id", "size", "n", "total", "p", _coin(*hash_of, F.lit("coin")).alias("coin")).cast(_UNIT).alias("unit"))
-    by = [*group, "kind", "block"]
+    left = u.where(F.col("p") > 0.0).select(*group, "lane", F.pmod(F.xxhash64(*hash_of, F.lit("block")), F.col("parts")).alias("part"), F.struct("doc_id", "size", "n", "total", "p", _coin(*hash_of, F.lit("coin")).alias("coin")).cast(_UNIT).alias("unit"))
+    by = [*group, "lane", "part"]
     while True:
         order = F.struct((-F.col("unit.size")).alias("o"), F.col("unit.coin").alias("c"), F.col("unit.doc_id").alias("i"), F.col("unit").alias("unit"))
         sorted_units = F.transform(F.sort_array(F.collect_list(order)), lambda x: x["unit"])
         folded = staged(left.groupBy(*by).agg(sorted_units.alias("units")).select(*group, _fold(F.col("units")).alias("r")), "round")
         decided.append(folded.select(*group, F.explode("r.done").alias("unit")))
         hands = folded.select(*group, F.col("r.hand").alias("unit"))
-        counts = hands.groupBy(*group).agg(F.count(F.lit(1)).alias("hands"))
-        if not counts.where(F.col("hands") > 1).head(1):
+        hands = hands.withColumn("kind", _kind(F.col("unit.size")))
+        kinds = hands.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("units"))
+        if not kinds.groupBy("source").agg(F.sum("units").alias("hands")).where(F.col("hands") > 1).head(1):
             break
         rnd = len(decided)
         hashed = F.xxhash64("unit.doc_id", "unit.size", F.lit(rnd))
         left = (
             hands.alias("h")
-            .join(counts.alias("c"), F.col("h.source").eqNullSafe(F.col("c.source")))
-            .select(*[F.col(f"h.{g}").alias(g) for g in group], F.lit(0).alias("kind"), F.pmod(hashed, F.ceil(F.col("hands") / BLOCK).cast("long")).alias("block"), F.col("h.unit").alias("unit"))
+            .join(_lanes(kinds).alias("c"), F.col("h.source").eqNullSafe(F.col("c.source")) & (F.col("h.kind") == F.col("c.kind")))
+            .select(*[F.col(f"h.{g}").alias(g) for g in group], "lane", F.pmod(hashed, F.col("parts")).alias("part"), F.col("h.unit").alias("unit"))
             .withColumn("unit", F.col("unit").withField("coin", _coin(F.col("unit.doc_id"), F.col("unit.size"), F.lit(rnd), F.lit("duel"))))
         )
     last = _coin(F.col("unit.doc_id"), F.col("unit.size"), F.lit("last")) < F.col("unit.p")
