@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, passes, staged, table_of, utf8, words_of
+from .common import mix64, new_path, passes, remove, staged, table_of, utf8, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6 registers: a pair of similarity 0.8 shares no band with chance 6e-5.
@@ -19,6 +19,12 @@ BANDS, ROWS = 32, 6
 CENTRES = 1
 #: Members of a block in the comparison of what is left of a bucket.
 BLOCK = 256
+#: Bytes of text of such a block, but for a single text that is longer.
+BLOCK_BYTES = 8 << 20
+#: Edges of a node from which on its edges are split, a part for each so many edges.
+HUB = 256
+#: Parts that rows which share a label, a digest or a hub are dealt to at most.
+PARTS = 256
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -174,13 +180,18 @@ def _rest(member: DataFrame, labels: DataFrame, texts: DataFrame, width: int, si
     """Links between members of a bucket that are still in different classes: all of them.
 
     In each bucket, members outside its largest class meet one another and that class,
-    block by block, so a task holds two blocks of texts and gives out links alone. Buckets
+    block by block, so a task holds two blocks of texts, of about BLOCK rows and BLOCK_BYTES
+    bytes at most (a longer text more), and gives out links alone. Buckets
     of one class are left out; in others the work is (members outside the largest class) x
     (members), which stays small as the rounds before have merged what is alike.
     """
-    m = member.join(labels, "key")
-    of = m.groupBy("bucket", "band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket", "band").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("top"))
-    of = of.where(F.col("all") > F.col("most")).select("bucket", "band", "top", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("kn"), F.ceil(F.col("most") / BLOCK).cast("int").alias("km"))
+    m = member.join(labels.join(texts.select("key", "bytes"), "key"), "key")
+    of = m.groupBy("bucket", "band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    of = of.groupBy("bucket", "band").agg(F.sum("n").alias("all"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "comp", "bytes")).alias("most"))
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    kn, km = blocks(F.col("all") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")), blocks(F.col("most.n"), F.col("most.bytes"))
+    of = of.where(F.col("all") > F.col("most.n")).select("bucket", "band", F.col("most.comp").alias("top"), kn.alias("kn"), km.alias("km"))
+    m = m.drop("bytes")
     m = m.join(of, ["bucket", "band"]).withColumn("main", F.col("comp") == F.col("top"))
     m = m.withColumn("b", F.pmod(F.xxhash64("key"), F.when(F.col("main"), F.col("km")).otherwise(F.col("kn"))).cast("int"))
     upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
@@ -250,24 +261,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def _looked_up(rows: DataFrame, by: str, table: DataFrame, deal: str = "key") -> DataFrame:
+    """``rows`` left join ``table`` (a row for each value of ``by``), however many rows share a value.
+
+    Rows are dealt by hash of ``deal`` to PARTS parts; the distinct pairs of value and part
+    meet the table, at most PARTS for a value, and bring its row to the parts.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(deal), F.lit(PARTS)))
+    return dealt.join(dealt.select(by, "part").distinct().join(table, by), [by, "part"], "left").drop("part")
+
+
+def _split_hubs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b, part) both ways, and (key, parts) of the hubs, the nodes with over HUB edges.
+
+    The edges of a hub are dealt by their other end to ``parts`` parts. To find them, the
+    hubs meet the edges with PARTS rows each, which together are fewer than the edges.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = staged(both.withColumn("deal", F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int")), "edges")
+    hubs = both.groupBy(F.col("b").alias("key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB)
+    hubs = staged(hubs.select("key", F.least(F.ceil(F.col("n") / HUB), F.lit(PARTS)).cast("int").alias("parts")), "hubs")
+    each = hubs.select(F.col("key").alias("b"), "parts", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("deal"))
+    split = both.join(each, ["b", "deal"], "left").select("a", "b", F.coalesce(F.col("deal") % F.col("parts"), F.lit(0)).alias("part"))
+    return staged(split, "split"), hubs
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest digest reachable from each (key, comp) node over edges (a, b).
 
     Nodes start as classes of their own (comp is key): labels that stand for earlier links
-    would be lost where these are not among the edges; ``merged`` takes such labels. Every round takes the least label around a node, then the label's own label; rounds
-    stop when no label changes. A hub's messages are combined before the shuffle, and joins
-    on it are split by adaptive execution. Labels are written each round, so lineage is cut.
+    would be lost where these are not among the edges; ``merged`` takes such labels. Every
+    round takes the least label around a node, then the label's own label; rounds stop when
+    no label changes. A hub's edges are split into parts, each with a copy of its label, and
+    what it hears is combined before the shuffle; labels' labels are asked for once a part
+    (``_looked_up``). Labels are written each round, so lineage is cut, and those of the
+    round before are removed.
     """
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = nodes
+    spark = nodes.sparkSession
+    both, hubs = _split_hubs(edges)
+    labels = nodes.select("key", "comp").join(hubs, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    old = []
     while True:
-        heard = both.join(labels.select(F.col("key").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("heard"))
-        lower = labels.join(heard, labels["key"] == heard["a"], "left").select("key", "comp", F.least("comp", F.coalesce("heard", "comp")).alias("least"))
-        jump = lower.select(F.col("key").alias("at"), F.col("least").alias("further"))
-        new = staged(lower.join(jump, lower["least"] == jump["at"], "left").select("key", F.coalesce("further", "least").alias("next"), "comp"), "labels")
-        labels = new.select("key", F.col("next").alias("comp"))
+        said = labels.select(F.col("key").alias("b"), "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        heard = both.join(said, ["b", "part"]).groupBy("a").agg(F.min("comp").alias("heard"))
+        paths = [new_path(spark, "lower"), new_path(spark, "labels")]
+        lower = labels.join(heard, labels["key"] == heard["a"], "left").select("key", "comp", "parts", F.least("comp", F.coalesce("heard", "comp")).alias("least"))
+        lower.write.parquet(paths[0])
+        lower = spark.read.schema(lower.schema).parquet(paths[0])
+        further = lower.where(F.col("least") < F.col("key")).select(F.col("key").alias("least"), F.col("least").alias("further"))
+        new = _looked_up(lower, "least", further).select("key", F.coalesce("further", "least").alias("next"), "comp", "parts")
+        new.write.parquet(paths[1])
+        new = spark.read.schema(new.schema).parquet(paths[1])
+        for path in [paths[0], *old]:
+            remove(spark, path)
+        old = paths[1:]
+        labels = new.select("key", F.col("next").alias("comp"), "parts")
         if not new.where(F.col("next") != F.col("comp")).head(1):
-            return labels
+            return labels.drop("parts")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -281,7 +331,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     lifted = staged(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "lifted")
     heads = lifted.select(F.col("a").alias("key")).unionByName(lifted.select(F.col("b").alias("key"))).distinct()
     found = components(heads.select("key", F.col("key").alias("comp")), lifted).select(F.col("key").alias("comp"), F.col("comp").alias("further"))
-    return staged(labels.join(found, "comp", "left").select("key", F.coalesce("further", "comp").alias("comp")), "merged")
+    return staged(_looked_up(labels, "comp", found).select("key", F.coalesce("further", "comp").alias("comp")), "merged")
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -311,7 +361,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     # one text for each involved digest, picked by the least doc_id, so that copies are not gathered
     ids = involved.join(reps, "key").select("key", "buckets", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"))
     picked = named.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))).join(ids, ["key", "id"]).select("key", "buckets", "text")
-    texts = staged(picked.groupBy("key").agg(F.first("buckets").alias("buckets"), F.first("text").alias("text")), "texts")
+    texts = staged(picked.groupBy("key").agg(F.first("buckets").alias("buckets"), F.first("text").alias("text")).withColumn("bytes", F.octet_length("text")), "texts")
     central = staged(involved, "central")
     labels = central.select("key", F.col("key").alias("comp"))
 
@@ -333,9 +383,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
 
     node = reps.join(labels, "key", "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id", "n")
     heads = node.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("head"), F.sum("n").alias("class_size"))
-    of = node.select("key", "comp").join(heads, "comp").select("key", F.col("head.doc_id").alias("class_id"), F.col("head.key").alias("head"), "class_size")
+    of = _looked_up(node.select("key", "comp"), "comp", heads).select("key", F.col("head.doc_id").alias("class_id"), F.col("head.key").alias("head"), "class_size")
     rows_in = signed.select("key", "doc_id", (F.size("buckets") > 0).alias("some"))
-    seen = rows_in.where("some").join(of, "key").select("doc_id", "class_id", "class_size", "key", (F.col("key") == F.col("head")).alias("head"))
+    seen = _looked_up(rows_in.where("some"), "key", of, deal="doc_id").select("doc_id", "class_id", "class_size", "key", (F.col("key") == F.col("head")).alias("head"))
     blank = rows_in.where(~F.col("some")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "key", F.lit(True).alias("head"))
     out = seen.unionByName(blank)
     return out.withColumn("kept", F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id"))).drop("head")
