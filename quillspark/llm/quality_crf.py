@@ -13,6 +13,8 @@ from .common import mix64, passes, table_of, utf8, words_of
 
 #: At most so many labelled documents are fitted on (chosen by hash of the key).
 MAX_TRAIN_DOCS = 4000
+#: At most so many lines of a training document: a longer one gives a run of so many lines.
+MAX_TRAIN_LINES = 200
 
 _CLASSES = 10
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -153,11 +155,20 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> Chain:
-    """Fit on at most ``max_docs`` labelled rows that are not held out.
+def _start(lines: int, key: int, most: int) -> int:
+    """First of the ``most`` consecutive lines of a longer text that are fitted on."""
+    return int(mix64(np.array([key], dtype=np.int64).view(np.uint64))[0] % np.uint64(lines - most + 1)) if lines > most else 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS, max_lines: int = MAX_TRAIN_LINES) -> Chain:
+    """Fit on at most ``max_docs`` labelled documents that are not held out.
 
     Only keys meet the labels; the chosen keys, at most ``max_docs``, go to the texts, and
-    their line features come to the driver. Without labelled rows every score is 0.5.
+    their line features come to the driver: one row a key, whatever rows repeat it, and at
+    most ``max_lines`` lines of it. Features are taken from the whole text; of a longer text
+    the lines from a place that a hash of the key chooses are fitted on. So the driver holds
+    max_docs x max_lines lines at most (of 64 bytes, 51 MB; the fit takes about 15 times
+    that). Without labelled rows every score is 0.5.
     """
     named = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
@@ -173,11 +184,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         for batch in batches:
             for a, b, texts in passes(batch.column("text")):
                 x, owner, _ = line_features(texts)
-                cut = np.searchsorted(owner, np.arange(1, b - a))
-                yield table_of({"doc_id": batch.column("doc_id").slice(a, b - a), "quality": batch.column("quality").slice(a, b - a), "lines": [y.astype("<f4").tobytes() for y in np.split(x, cut)]}, out)
-
-    got = named.join(F.broadcast(few), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(features, "doc_id long, quality int, lines binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["lines"])))
+                each = np.split(x, np.searchsorted(owner, np.arange(1, b - a)))
+                ids = batch.column("doc_id").slice(a, b - a)
+                each = [y[at : at + max_lines] for y, at in zip(each, (_start(len(y), i, max_lines) for y, i in zip(each, ids.to_pylist(), strict=True)), strict=True)]
+                yield table_of({"doc_id": ids, "quality": batch.column("quality").slice(a, b - a), "lines": [y.astype("<f4").tobytes() for y in each]}, out)
+
+    got = named.join(F.broadcast(few), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(features, "doc_id long, quality int, lines binary")
+    got = got.groupBy("doc_id", "quality").agg(F.min("lines").alias("lines")).collect()
+    got.sort(key=lambda r: r["doc_id"])
     each = [np.frombuffer(r["lines"], "<f4").reshape(-1, len(FEATURES)).astype(np.float64) for r in got]
     owner = np.repeat(np.arange(len(each)), [len(y) for y in each])
     bad = np.repeat([1.0 - float(r["quality"]) for r in got], [len(y) for y in each])
