@@ -1,6 +1,8 @@
 """Training-data operators against brute force, round trips and held-out labels."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import textwrap
@@ -273,6 +275,37 @@ def test_near_dedup_keeps_links_of_both_rounds(spark, monkeypatch, first, then):
     assert {r.doc_id: (r.class_id, r.class_size, r.kept) for r in got} == {i: (u, up.count(u), u == i) for i, u in enumerate(up)}
 
 
+@pytest.mark.parametrize("hub, parts", [(near_dedup.HUB, near_dedup.PARTS), (3, 4), (1 << 30, 1)])
+def test_components_split_hubs(spark, monkeypatch, hub, parts):
+    monkeypatch.setattr(near_dedup, "HUB", hub)
+    monkeypatch.setattr(near_dedup, "PARTS", parts)
+    rng = random.Random(3)
+    edges = [(0, i) for i in range(10, 700)] + [(900, i) for i in range(701, 1100)] + [(i, i + 1) for i in range(1200, 1220)] + [(699, 1210), (5, 5)]
+    names = {i: hashlib.md5(str(i).encode()).digest() for i in range(1300)}
+    rng.shuffle(edges)
+    up = list(range(1300))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)), key=names.get)
+        up[y] = x
+    nodes = spark.createDataFrame([(names[i], names[i]) for i in range(1300)], "key binary, comp binary")
+    got = near_dedup.components(nodes, spark.createDataFrame([(names[a], names[b]) for a, b in edges], "a binary, b binary")).collect()
+    assert {bytes(r.key): bytes(r.comp) for r in got} == {names[i]: names[top(i)] for i in range(1300)}
+    assert near_dedup.components(nodes, spark.createDataFrame([], "a binary, b binary")).where("key = comp").count() == 1300
+
+
+def test_blocks_by_bytes_lose_no_link(spark, docs, monkeypatch):
+    rows = docs.select("doc_id", "text")
+    want = Counter(near_dedup.classes(rows).drop("key").collect())
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 3000)
+    assert Counter(near_dedup.classes(rows).drop("key").collect()) == want
+
+
 def test_near_dedup_odd_rows(odd):
     got = near_dedup.classes(odd).collect()
     assert len(got) == len(ODD)
@@ -450,6 +483,13 @@ def test_mixing_splits_a_hot_source_and_key(spark):
 
 
 # ------------------------------------------------------------------ 6: shards
+def brute_shards(key, shards):
+    name = "null" if key is None else str(key)
+    unit = [(int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in range(shards + 1)]
+    best = lambda n: max(range(n), key=lambda i: (-1 / math.log(unit[i]), -i))
+    return best(shards), best(shards + 1)
+
+
 def test_sharding(docs, odd, none):
     for df in (docs, odd):
         got = sharding.shard(df, 24).collect()
@@ -457,6 +497,7 @@ def test_sharding(docs, odd, none):
         for s in {r.shard for r in got}:
             assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
         assert all(r.grown_shard in (r.shard, 24) and 0 <= r.shard < 24 for r in got)
+        assert all((r.shard, r.grown_shard) == brute_shards(r.doc_id, 24) for r in got)
     assert sharding.shard(none).count() == 0
 
 
@@ -474,6 +515,38 @@ def test_classifier_on_held_out_labels(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
+def test_fit_is_a_maximum_of_the_likelihood():
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(1, 6, 60)
+    owner = np.repeat(np.arange(60), lengths)
+    bad = rng.random(len(owner)) < 0.4
+    z = rng.normal(size=(len(owner), 3)) + bad[:, None]
+    model = quality_crf.Chain(3).fit(z, owner, bad.astype(float), rounds=600)
+    x, cut = (z - model.mean) / model.scale, np.concatenate(([0], np.cumsum(lengths)))
+
+    def value(w, bias, start, move):  # log-likelihood by all paths, less the ridge
+        total = -(w @ w + bias * bias + start * start + (move * move).sum())
+        for a, b in itertools.pairwise(cut):
+            path = lambda y: sum((x[a + t] @ w + bias) * s + (move[y[t - 1], s] if t else start * s) for t, s in enumerate(y))  # noqa: B023, E731
+            total += path(bad[a:b].astype(int)) - np.log(sum(np.exp(path(y)) for y in itertools.product((0, 1), repeat=b - a)))
+        return total
+
+    theta = np.concatenate((model.w, [model.bias, model.start], model.move.ravel()))
+    of = lambda t: value(t[:3], t[3], t[4], t[5:].reshape(2, 2))
+    best = of(theta)
+    for k in range(len(theta)):
+        for step in (-0.05, 0.05):
+            assert of(theta + step * np.eye(len(theta))[k]) < best + 1e-3
+
+
+def test_training_rows_are_bounded(spark, labels, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_crf.Chain, "fit", lambda self, z, owner, bad, **_: seen.append(Counter(owner.tolist())) or self)
+    long = docs.withColumn("text", F.repeat(F.concat("text", F.lit("\n")), 40))
+    quality_crf.fit(long.unionByName(long), labels, max_docs=20, max_lines=30)
+    assert len(seen[0]) == 20 and max(seen[0].values()) == 30
+
+
 def test_classifier_odd_rows(odd, none, labels):
     got = quality_crf.classify(odd, labels).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
