@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -37,6 +43,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/quill-{uuid.uuid4().hex}/{name}"
     fs, top = _file_system(spark, path.rsplit("/", 1)[0])
     fs.deleteOnExit(top)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -46,8 +54,21 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables made inside when the block ends; what is to stay gets its path before."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder (or to ``path`` there) and read it back."""
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
