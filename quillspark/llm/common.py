@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import new_path, remove, shared_dir, staged  # noqa: F401
+from ..functions.shared import new_path, remove, scratch, shared_dir, staged  # noqa: F401
 
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
 PASS_BYTES = 1 << 20

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, new_path, passes, remove, staged, table_of, utf8, words_of
+from .common import mix64, new_path, passes, remove, scratch, staged, table_of, utf8, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6 registers: a pair of similarity 0.8 shares no band with chance 6e-5.
@@ -331,7 +331,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     lifted = staged(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "lifted")
     heads = lifted.select(F.col("a").alias("key")).unionByName(lifted.select(F.col("b").alias("key"))).distinct()
     found = components(heads.select("key", F.col("key").alias("comp")), lifted).select(F.col("key").alias("comp"), F.col("comp").alias("further"))
-    return staged(_looked_up(labels, "comp", found).select("key", F.coalesce("further", "comp").alias("comp")), "merged")
+    return _looked_up(labels, "comp", found).select("key", F.coalesce("further", "comp").alias("comp"))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -354,32 +354,35 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     signed = staged(_signed(named.select("key", "doc_id", "text"), width, bands, rows), "signed")
     full = signed.where(F.size("buckets") > 0)
     reps = staged(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("n")), "reps")
-    member = reps.select("key", F.posexplode("buckets").alias("band", "bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    member = staged(member.join(shared, "bucket"), "members")
-    involved = member.groupBy("key").agg(F.sum("n").alias("met"))
-    # one text for each involved digest, picked by the least doc_id, so that copies are not gathered
-    ids = involved.join(reps, "key").select("key", "buckets", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"))
-    picked = named.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))).join(ids, ["key", "id"]).select("key", "buckets", "text")
-    texts = staged(picked.groupBy("key").agg(F.first("buckets").alias("buckets"), F.first("text").alias("text")).withColumn("bytes", F.octet_length("text")), "texts")
-    central = staged(involved, "central")
-    labels = central.select("key", F.col("key").alias("comp"))
-
-    def pairs_left(labels: DataFrame, centre: int) -> DataFrame:
-        m = member.join(labels, "key").join(central, "key")
-        order = F.struct(-F.col("met"), F.col("key")) if centre == 0 else F.struct(F.xxhash64("key", F.lit(centre)), F.col("key"))
-        c = m.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("a"), F.col("comp").alias("ca"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        c = c.where(F.col("lo") != F.col("hi")).select("bucket", "c.a", "c.ca")
-        p = m.join(c, "bucket").where(F.col("comp") != F.col("ca"))
-        p = p.select("a", "ca", F.col("key").alias("b"), "comp").distinct()
-        # of several centres for one member, only one of a class is asked for in a round
-        return p.groupBy("b", "ca").agg(F.min("a").alias("a")).select("a", "b")
-
-    for centre in range(CENTRES):
-        links = staged(_verified(pairs_left(labels, centre), texts, width, similarity), "links")
-        labels = merged(labels, links) if centre else components(labels, links)
-    links = staged(_rest(member, labels, texts, width, similarity), "links")
-    labels = merged(labels, links)
+    path = new_path(docs.sparkSession, "classes")
+    # the classes are written, so tables of texts, buckets and links go before they are read
+    with scratch(docs.sparkSession):
+        member = reps.select("key", F.posexplode("buckets").alias("band", "bucket"))
+        shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        member = staged(member.join(shared, "bucket"), "members")
+        involved = member.groupBy("key").agg(F.sum("n").alias("met"))
+        # one text for each involved digest, picked by the least doc_id, so that copies are not gathered
+        ids = involved.join(reps, "key").select("key", "buckets", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"))
+        picked = named.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("long"))).join(ids, ["key", "id"]).select("key", "buckets", "text")
+        texts = staged(picked.groupBy("key").agg(F.first("buckets").alias("buckets"), F.first("text").alias("text")).withColumn("bytes", F.octet_length("text")), "texts")
+        central = staged(involved, "central")
+        labels = central.select("key", F.col("key").alias("comp"))
+
+        def pairs_left(labels: DataFrame, centre: int) -> DataFrame:
+            m = member.join(labels, "key").join(central, "key")
+            order = F.struct(-F.col("met"), F.col("key")) if centre == 0 else F.struct(F.xxhash64("key", F.lit(centre)), F.col("key"))
+            c = m.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("a"), F.col("comp").alias("ca"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            c = c.where(F.col("lo") != F.col("hi")).select("bucket", "c.a", "c.ca")
+            p = m.join(c, "bucket").where(F.col("comp") != F.col("ca"))
+            p = p.select("a", "ca", F.col("key").alias("b"), "comp").distinct()
+            # of several centres for one member, only one of a class is asked for in a round
+            return p.groupBy("b", "ca").agg(F.min("a").alias("a")).select("a", "b")
+
+        for centre in range(CENTRES):
+            links = staged(_verified(pairs_left(labels, centre), texts, width, similarity), "links")
+            labels = staged(merged(labels, links), "merged") if centre else components(labels, links)
+        links = staged(_rest(member, labels, texts, width, similarity), "links")
+        labels = staged(merged(labels, links), "classes", path)
 
     node = reps.join(labels, "key", "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id", "n")
     heads = node.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("head"), F.sum("n").alias("class_size"))
