@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from ..functions.shared import new_path, remove, scratch, shared_dir, staged  #
 
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
 PASS_BYTES = 1 << 20
+#: Bytes of an Arrow batch; bounds what the JVM and a Python worker hold of a task's texts.
+BATCH_BYTES = 4 << 20
 
 _U = np.uint64
 
@@ -22,6 +24,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over batches of about BATCH_BYTES (a longer row is one by itself).
+
+    Spark reads the bound from the session when the plan runs, so it is set there, unless the
+    session has one of its own.
+    """
+    conf, bound = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(bound, None) is None:
+        conf.set(bound, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 # --------------------------------------------------------------------------- ordering
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

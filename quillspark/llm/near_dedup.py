@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, new_path, passes, remove, scratch, staged, table_of, utf8, words_of
+from .common import in_batches, mix64, new_path, passes, remove, scratch, staged, table_of, utf8, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6 registers: a pair of similarity 0.8 shares no band with chance 6e-5.
@@ -239,7 +239,7 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 some = np.bincount(doc, minlength=b - a) > 0
                 yield table_of({"key": batch.column("key").slice(a, b - a), "doc_id": batch.column("doc_id").slice(a, b - a), "buckets": [x if s else [] for x, s in zip(h.view(np.int64), some, strict=True)]}, out)
 
-    return docs.mapInArrow(run, _REPS)
+    return in_batches(docs, run, _REPS)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -258,7 +258,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             ok = [probability_jaccard(weights(x), weights(y)) >= similarity for x, y in zip(ta, tb, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=out).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return in_batches(both.select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
 def _looked_up(rows: DataFrame, by: str, table: DataFrame, deal: str = "key") -> DataFrame:

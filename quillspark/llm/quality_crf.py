@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, passes, table_of, utf8, words_of
+from .common import in_batches, mix64, passes, table_of, utf8, words_of
 
 #: At most so many labelled documents are fitted on (chosen by hash of the key).
 MAX_TRAIN_DOCS = 4000
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 each = [y[at : at + max_lines] for y, at in zip(each, (_start(len(y), i, max_lines) for y, i in zip(each, ids.to_pylist(), strict=True)), strict=True)]
                 yield table_of({"doc_id": ids, "quality": batch.column("quality").slice(a, b - a), "lines": [y.astype("<f4").tobytes() for y in each]}, out)
 
-    got = named.join(F.broadcast(few), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(features, "doc_id long, quality int, lines binary")
+    got = in_batches(named.join(F.broadcast(few), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text"), features, "doc_id long, quality int, lines binary")
     got = got.groupBy("doc_id", "quality").agg(F.min("lines").alias("lines")).collect()
     got.sort(key=lambda r: r["doc_id"])
     each = [np.frombuffer(r["lines"], "<f4").reshape(-1, len(FEATURES)).astype(np.float64) for r in got]
@@ -220,7 +220,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
             for batch in batches:
                 yield batch.filter(pa.array(scored(batch) >= 0.5))
 
-        return wide.mapInArrow(keep, wide.schema).toDF(*cols)
+        return in_batches(wide, keep, wide.schema).toDF(*cols)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
@@ -229,4 +229,4 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
             yield table_of({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": scored(batch)}, out)
 
     named = docs.select(docs[key].cast("long").alias("doc_id"), held_out(docs[key].cast("long")).alias("held_out"), docs[text].alias("_text"))
-    return named.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return in_batches(named, run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
